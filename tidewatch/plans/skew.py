@@ -6,21 +6,24 @@ def salt_count(df, salts=None):
     return salts or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def join_groups(facts, groups, keys, how="inner", salts=None):
+def join_groups(facts, groups, keys, how="inner", salts=None, spread=None):
     """`facts` joined to `groups` (unique in `keys`) with every key spread over `salts` slices.
 
+    Slices are told by hashing the `spread` columns of a fact (all of them by default), which should
+    differ between the facts of a key; count equal facts first.
+
     Each group row is repeated once per slice, so a key that holds a third of all facts is shared
     out over as many tasks as there are shuffle partitions. Spark still turns this into a broadcast
     join when the groups turn out to be below its size threshold.
     """
     n = salt_count(facts, salts)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(n)).cast("int"))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*(spread or facts.columns)), F.lit(n)).cast("int"))
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def join_small(facts, groups, keys, n_rows, how="inner", limit=2_000_000, salts=None):
+def join_small(facts, groups, keys, n_rows, how="inner", limit=2_000_000, **spreading):
     """As `join_groups`, broadcast when the known number of group rows is within `limit`."""
     if n_rows <= limit:
         return facts.join(F.broadcast(groups), keys, how)
-    return join_groups(facts, groups, keys, how, salts)
+    return join_groups(facts, groups, keys, how, **spreading)
