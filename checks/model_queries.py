@@ -143,11 +143,9 @@ scores AS (
   SELECT l.id, p.label, p.p - ln(t.total) * coalesce(x.x, 0) + coalesce(g.g, 0) AS s
   FROM labelled l CROSS JOIN prior p JOIN totals t ON t.label = p.label
   LEFT JOIN xsum x ON x.id = l.id LEFT JOIN gain g ON g.id = l.id AND g.label = p.label),
-best AS (SELECT id, label, s, exp(s - max(s) OVER w) / sum(exp(s)) OVER w
-                * exp(max(s) OVER w) AS confidence,
-                row_number() OVER (PARTITION BY id ORDER BY s DESC, label) AS nth
-         FROM scores WINDOW w AS (PARTITION BY id))
-SELECT id, label AS predicted, round(confidence, 6) AS confidence FROM best WHERE nth = 1""")
+shifted AS (SELECT *, s - max(s) OVER (PARTITION BY id) AS d FROM scores)
+SELECT id, min_by(label, struct_pack(a := -d, b := label)) AS predicted,
+       round(1 / sum(exp(d)), 6) AS confidence FROM shifted GROUP BY id""")
 def naive_bayes(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     fitted = models.fit(docs, learner="naive_bayes")

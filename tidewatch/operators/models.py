@@ -1,20 +1,20 @@
-"""Linear text classifiers: fitted per training set, kept as tables, scored by a join.
+"""Linear text classifiers: fitted for many training sets at once, kept as tables, scored by a join.
 
 Every model is a table (model, term, idf, coef per class) plus intercepts. Vocabulary and document
-frequencies are taken from the training rows of each model only, for all models in one pass.
-Scoring joins the terms of a document to the table and adds up; the sums of a document are complete
+frequencies are taken from the training rows of each model only. All folds of a cross-validation are
+fitted together: one pass counts their vocabularies, and each pass over the training rows yields the
+gradients of all models. Scoring joins the terms of a document to the table and adds up; the sums of a document are complete
 before the shuffle because all its terms come from one input row.
 """
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions import numeric, text as tx
 from tidewatch.operators import metrics
+from tidewatch.operators.logistic import fit_logistic
 from tidewatch.operators.features import (
     TERM_SALTS, document_terms, numbered, smooth_idf, sublinear)
 from tidewatch.plans.ranking import rank_within
@@ -58,143 +58,121 @@ class LinearModels:
 
 # --- fitting ------------------------------------------------------------------
 
-def _weighted(terms, vocab, n_vocab):
-    """Training rows as (id, label, entries, norm): one array of (idx, w) per document."""
-    joined = join_small(terms, vocab, ["term"], n_vocab, "left", salts=TERM_SALTS, spread=["id"])
+def training_terms(df, label="subreddit", text="text", bigrams=True):
+    """(id, label, other columns, term, tf) for fitting and scoring, written once for reuse."""
+    rows = df.withColumn("label", F.col(label)) if label != "label" else df
+    return settle(document_terms(rows, text, bigrams, outer=True))
+
+
+def _members(sets):
+    """The numbers of the training sets a row belongs to, exploded."""
+    return F.explode(F.array_compact(F.array(
+        *[F.when(s, F.lit(i)) for i, s in enumerate(sets)]))).alias("model")
+
+
+def _vocabularies(terms, sets, n_docs, min_df, max_features):
+    """(model, term, idx, idf) of all models, and how many columns they share.
+
+    Document frequencies of all sets are counted in one pass over the terms.
+    """
+    counted = terms.where(F.col("term").isNotNull()).groupBy("term").agg(
+        *[F.count_if(s).alias(f"df{i}") for i, s in enumerate(sets)])
+    largest = F.greatest(*[F.col(f"df{i}") for i in range(len(sets))]) if len(sets) > 1 \
+        else F.col("df0")
+    shared, n_features = numbered(settle(counted.where(largest >= min_df)), max_features)
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("model"), F.col(f"df{i}").alias("df"),
+                 smooth_idf(F.col(f"df{i}"), n).alias("idf")) for i, n in enumerate(n_docs)])
+    vocab = shared.select("term", "idx", F.explode(entries).alias("e")).where(
+        F.col("e.df") >= min_df)
+    return settle(vocab.select("e.model", "term", "idx", "e.idf")), n_features
+
+
+def _training_rows(terms, sets, vocab, n_vocab, classes):
+    """One row per model and training document: class number and its L2-normalised weights."""
+    facts = terms.select("id", "label", "term", "tf", _members(sets))
+    joined = join_small(facts, vocab, ["model", "term"], n_vocab, "left", salts=TERM_SALTS,
+                        spread=["id"])
     w = sublinear(F.col("tf")) * F.col("idf")
     entry = F.when(F.col("idx").isNotNull(), F.struct("idx", w.alias("w")))
-    return joined.groupBy("id", "label").agg(
-        F.sort_array(F.collect_list(entry)).alias("entries"),
-        F.sqrt(F.coalesce(F.sum(w * w), F.lit(0.0))).alias("norm"))
-
-
-def _unit_weights(rows):
-    """(id, label, idx, x) with x normalised; equal indices of folded vocabularies added up."""
-    entries = rows.select("id", "label", "norm", F.explode("entries").alias("e"))
-    return entries.groupBy("id", "label", F.col("e.idx").alias("idx")).agg(
-        F.sum(F.col("e.w") / F.col("norm")).alias("x"))
-
-
-def _vectors(rows, n_features, folded):
-    """Label index and feature vector. The vector is built by the JSON reader from its own storage
-    form, which keeps the rows inside the JVM."""
-    if folded:
-        entries = _unit_weights(rows).groupBy("id").agg(
-            F.sort_array(F.collect_list(F.struct("idx", F.col("x").alias("w")))).alias("summed"))
-        rows = rows.join(entries, "id", "left").withColumn(
-            "entries", F.coalesce("summed", F.slice("entries", 1, 0))).withColumn(
-            "norm", F.lit(1.0))
-    norm = F.col("norm")
-    stored = F.struct(
-        F.lit(0).alias("type"), F.lit(n_features).alias("size"),
-        F.transform("entries", lambda e: e["idx"]).alias("indices"),
-        F.transform("entries", lambda e: e["w"] / norm).alias("values"))
-    schema = T.StructType([T.StructField("features", VectorUDT())])
-    return rows.select("y", F.from_json(F.to_json(F.struct(stored.alias("features"))), schema)
-                       ["features"].alias("features"))
-
-
-def _class_index(classes):
-    return (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1) \
-        .cast("double").alias("y")
-
-
-def _fit_logistic(rows, classes, n_docs, n_features, folded, C, max_iter, tol):
-    """L2-penalised logistic regression; returns coefficients (classes x features), intercepts."""
-    data = _vectors(rows.withColumn("y", _class_index(classes)), n_features, folded)
-    fitted = LogisticRegression(
-        featuresCol="features", labelCol="y", regParam=1.0 / (C * n_docs), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=tol).fit(data)
-    coefficients = fitted.coefficientMatrix.toArray()
-    intercepts = fitted.interceptVector.toArray()
-    if len(classes) == 2:
-        # A binary fit has one row of coefficients: class 0 scores zero.
-        coefficients = np.vstack([np.zeros_like(coefficients), coefficients])
-        intercepts = np.array([0.0, intercepts[0]])
-    return coefficients, intercepts
+    rows = joined.groupBy("model", "id", "label").agg(
+        F.collect_list(entry).alias("_e"), F.sqrt(F.sum(w * w)).alias("_norm"))
+    y = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
+    norm = F.col("_norm")
+    return settle(rows.select(
+        "model", y.cast("int").alias("y"), F.transform("_e", lambda e: e["idx"]).alias("idx"),
+        F.transform("_e", lambda e: e["w"] / norm).alias("x")))
 
 
 def _coefficient_rows(spark, coefficients, slice_rows=1_000_000):
+    """(model, idx, coef) from one (classes x features) array per model."""
     table = None
-    for start in range(0, coefficients.shape[1], slice_rows):
-        part = coefficients[:, start:start + slice_rows]
-        frame = pd.DataFrame({"idx": np.arange(start, start + part.shape[1], dtype=np.int32)})
-        for c in range(part.shape[0]):
-            frame[f"c{c}"] = part[c]
-        rows = spark.createDataFrame(frame)
-        table = rows if table is None else table.unionByName(rows)
-    return table.select("idx", F.array(*[f"c{c}" for c in range(coefficients.shape[0])])
+    for model, values in enumerate(coefficients):
+        for start in range(0, values.shape[1], slice_rows):
+            part = values[:, start:start + slice_rows]
+            frame = pd.DataFrame({"model": np.int32(model), "idx": np.arange(
+                start, start + part.shape[1], dtype=np.int32)})
+            for c in range(part.shape[0]):
+                frame[f"c{c}"] = part[c]
+            rows = spark.createDataFrame(frame)
+            table = rows if table is None else table.unionByName(rows)
+    n_classes = coefficients[0].shape[0]
+    return table.select("model", "idx", F.array(*[f"c{c}" for c in range(n_classes)])
                         .alias("coef"))
 
 
-def _naive_bayes_coefficients(rows, classes, alpha, n_vocab):
-    """Smoothed log probability of each term per class, as (idx, coef)."""
-    x = _unit_weights(rows)
-    per_term = x.groupBy("idx").agg(F.array(*[
-        F.sum(F.when(F.col("label") == c, F.col("x")).otherwise(0.0)) for c in classes])
-        .alias("mass"))
-    totals = x.groupBy("label").agg(F.sum("x").alias("m")).collect()      # one row per class
-    mass = {r["label"]: r["m"] for r in totals}
-    logs = F.array(*[F.lit(float(np.log(mass.get(c, 0.0) + alpha * n_vocab))) for c in classes])
-    return per_term.select("idx", F.zip_with(
-        "mass", logs, lambda m, total: F.ln(m + alpha) - total).alias("coef"))
-
-
-def training_terms(df, label="subreddit", text="text", bigrams=True):
-    """(id, label, other columns, term, tf) for fitting and scoring, written once for reuse."""
-    rows = df.withColumn("label", F.col(label)) if label != "label" else df
-    return settle(document_terms(rows, text, bigrams, outer=True))
+def _naive_bayes(rows, counts, alpha, vocab_sizes):
+    """Smoothed log probability of each term per class (model, idx, coef), and log priors."""
+    k = counts.shape[1]
+    x = (rows.select("model", "y", F.explode(F.arrays_zip("idx", "x")).alias("e"))
+         .groupBy("model", F.col("e.idx").alias("idx"))
+         .agg(*[F.sum(F.when(F.col("y") == c, F.col("e.x")).otherwise(0.0)).alias(f"m{c}")
+                for c in range(k)]))
+    x = settle(x)
+    totals = x.groupBy("model").agg(*[F.sum(f"m{c}") for c in range(k)]).collect()
+    logs = [[0.0] * k for _ in counts]
+    for row in totals:                                       # one row per model
+        logs[row[0]] = [float(np.log(m + alpha * vocab_sizes[row[0]])) for m in row[1:]]
+    log_total = F.get(F.array(*[F.array(*[F.lit(v) for v in row]) for row in logs]),
+                      F.col("model"))
+    table = x.select("model", "idx", F.array(*[
+        F.ln(F.col(f"m{c}") + alpha) - F.get(log_total, F.lit(c)) for c in range(k)])
+        .alias("coef"))
+    with np.errstate(divide="ignore"):
+        priors = np.log(counts / counts.sum(axis=1, keepdims=True))
+    return table, priors
 
 
 def fit_models(docs, terms, sets, *, learner="logistic", label="subreddit", min_df=2, C=1.0,
-               alpha=1.0, max_iter=2000, tol=1e-8, max_features=MAX_FEATURES):
-    """Fits one model per training set.
+               alpha=1.0, max_iter=2000, tol=1e-4, max_features=MAX_FEATURES):
+    """Fits one model per training set, all of them together.
 
     `sets` are conditions on the columns that `docs` and `terms` share; `terms` comes from
-    `training_terms`. Document frequencies of all sets are counted in one pass over the terms.
+    `training_terms`.
     """
     if learner not in LEARNERS:
         raise ValueError(f"learner must be one of {LEARNERS}, got {learner!r}")
     sizes = docs.groupBy(F.col(label).alias("label")).agg(
         *[F.count_if(s).alias(f"n{i}") for i, s in enumerate(sets)]).collect()  # row per class
-    classes = sorted(r["label"] for r in sizes)
-    counted = terms.where(F.col("term").isNotNull()).groupBy("term").agg(
-        *[F.count_if(s).alias(f"df{i}") for i, s in enumerate(sets)])
-    frequent = [F.col(f"df{i}") >= min_df for i in range(len(sets))]
-    anywhere = frequent[0]
-    for condition in frequent[1:]:
-        anywhere = anywhere | condition
-    counted = settle(counted.where(anywhere))
-    shared, n_features = numbered(counted, max_features)
-    shared = settle(shared)
-    folded = counted.count() > n_features
-    spark = docs.sparkSession
-
-    tables, intercepts, n_rows = [], [], 0
-    for i, condition in enumerate(sets):
-        n_docs = sum(r[f"n{i}"] for r in sizes)
-        vocab = shared.where(frequent[i]).select(
-            "term", "idx", smooth_idf(F.col(f"df{i}"), n_docs).alias("idf"))
-        n_vocab = vocab.count()
-        rows = _weighted(terms.where(condition).select("id", "label", "term", "tf"),
-                         vocab, n_vocab)
-        if learner == "logistic":
-            values, bias = _fit_logistic(rows, classes, n_docs, n_features, folded, C, max_iter,
-                                         tol)
-            coefficients = _coefficient_rows(spark, values)
-        else:
-            coefficients = _naive_bayes_coefficients(rows, classes, alpha, n_vocab)
-            prior = {r["label"]: r[f"n{i}"] for r in sizes}
-            with np.errstate(divide="ignore"):
-                bias = np.log([prior[c] / n_docs for c in classes])
-        tables.append(vocab.join(coefficients, "idx").select(
-            F.lit(i).alias("model"), "term", "idf", "coef"))
-        intercepts.append([float(b) for b in bias])
-        n_rows += n_vocab
-    table = tables[0]
-    for other in tables[1:]:
-        table = table.unionByName(other)
-    return LinearModels(classes, intercepts, settle(table), n_rows)
+    sizes = sorted((r for r in sizes if r["label"] is not None), key=lambda r: r["label"])
+    classes = [r["label"] for r in sizes]
+    counts = np.array([[float(r[f"n{i}"]) for r in sizes] for i in range(len(sets))])
+    n_docs = [int(n) for n in counts.sum(axis=1)]
+    terms = terms.where(F.col("label").isNotNull())
+    vocab, n_features = _vocabularies(terms, sets, n_docs, min_df, max_features)
+    in_vocab = {r["model"]: r["n"] for r in vocab.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n")).collect()}             # one row per model
+    vocab_sizes = [in_vocab.get(i, 0) for i in range(len(sets))]
+    n_rows = sum(vocab_sizes)
+    rows = _training_rows(terms, sets, vocab, n_rows, classes)
+    if learner == "logistic":
+        values, intercepts = fit_logistic(rows, n_docs, len(classes), n_features, C, max_iter, tol)
+        coefficients = _coefficient_rows(docs.sparkSession, values)
+    else:
+        coefficients, intercepts = _naive_bayes(rows, counts, alpha, vocab_sizes)
+    table = vocab.join(coefficients, ["model", "idx"]).select("model", "term", "idf", "coef")
+    return LinearModels(classes, [[float(b) for b in row] for row in intercepts], settle(table),
+                        n_rows)
 
 
 def fit(df, *, label="subreddit", text="text", bigrams=True, **options):
