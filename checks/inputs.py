@@ -4,7 +4,7 @@ Everything is a projection or an equi-join of whole tables; `twins.py` holds the
 """
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import or_empty
+from tidewatch.plans.skew import widen
 
 
 def table(spark, sf_dir, name):
@@ -18,7 +18,7 @@ def epoch_seconds(ts):
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return widen(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("id"), "doc_id", "text", "lang", "source")
 
 

@@ -60,10 +60,10 @@ def _partial_sums(broadcast, n_features, outputs):
                         e_idx, whole[c, e_row] * e_x, n_features)
                     total[position, c, n_features] += residual[c].sum()
         flat = np.concatenate([loss, total.ravel()])
-        parts = [flat[i:i + CHUNK] for i in range(0, len(flat), CHUNK)]
+        ends = np.append(np.arange(0, len(flat), CHUNK), len(flat)).astype(np.int32)
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array(range(len(parts)), pa.int32()),
-            "sums": pa.array(parts, pa.list_(pa.float64()))})
+            "part": pa.array(np.arange(len(ends) - 1, dtype=np.int32)),
+            "sums": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
     return run
 
 

@@ -240,9 +240,9 @@ def cross_validated(df, k=5, seed=0, label="subreddit", text="text", bigrams=Tru
 
     With `with_train` the other models' scores are returned as well.
     """
-    docs = settle(stratified_folds(df.select("id", F.col(label).alias("label"), text), k, seed,
-                                   "label"))
-    terms = training_terms(docs, "label", text, bigrams)
+    # Only ids and labels are ranked; the text meets its fold once, by id.
+    docs = settle(stratified_folds(df.select("id", F.col(label).alias("label")), k, seed, "label"))
+    terms = training_terms(df.select("id", text).join(docs, "id"), "label", text, bigrams)
     models = fit_models(docs, terms, _held_out(k), label="label", **options)
     return score_terms(models, terms, ["label", "fold"], None if with_train else "fold")
 
@@ -330,7 +330,7 @@ LEARNING_SIZES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
 def learning_curve(df, fractions=LEARNING_SIZES, k=5, seed=42, label="subreddit", text="text",
                    bigrams=True, min_df=1, **options):
     """Held-out accuracy when training on growing shuffled prefixes of each training fold."""
-    docs = stratified_folds(df.select("id", F.col(label).alias("label"), text), k, seed, "label")
+    docs = stratified_folds(df.select("id", F.col(label).alias("label")), k, seed, "label")
     # One shuffle of all rows; the prefix of a training fold is its first rows in that order.
     order = docs.withColumn("_h", numeric.seeded_hash(F.col("id"), f"curve{seed}"))
     digits = numeric.hash_digits(F.col("_h"))
@@ -341,7 +341,7 @@ def learning_curve(df, fractions=LEARNING_SIZES, k=5, seed=42, label="subreddit"
     docs = settle(order.drop("_h"))
     n_train = docs.where(F.col("fold") != 0).count()
     sizes = [int(f * n_train) for f in fractions]
-    terms = training_terms(docs, "label", text, bigrams)
+    terms = training_terms(df.select("id", text).join(docs, "id"), "label", text, bigrams)
     sets, keys = [], []
     for i in range(k):
         for size in sizes:

@@ -27,3 +27,12 @@ def join_small(facts, groups, keys, n_rows, how="inner", limit=2_000_000, **spre
     if n_rows <= limit:
         return facts.join(F.broadcast(groups), keys, how)
     return join_groups(facts, groups, keys, how, **spreading)
+
+
+def widen(scan, key):
+    """A plain file scan spread over all cores when its files give fewer splits than there are.
+
+    For small tables in one file; a scan that already has a split per core is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
