@@ -65,17 +65,19 @@ def seen_young(labels, max_age=MAX_AGE_AT_SNAPSHOT):
 def removal_rate(labels, max_age=MAX_AGE_AT_SNAPSHOT):
     """Removal rate per community and, with `scope = 'all'`, over everything."""
     eligible = seen_young(labels, max_age).where(F.col("outcome").isin(KEPT, REMOVED))
-    removed = F.count_if(F.col("outcome") == REMOVED)
-    totals = eligible.rollup("subreddit").agg(
-        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("eligible_posts"),
-        removed.alias("removed"))
+    per = eligible.groupBy("subreddit").agg(
+        F.count(F.lit(1)).alias("eligible_posts"),
+        F.count_if(F.col("outcome") == REMOVED).alias("removed"))
+    # The total adds up the communities, so that it exists (as NaN) without any eligible post.
+    overall = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+                        for c in ("eligible_posts", "removed")])
     rate = numeric.nan_if_null(numeric.share(F.col("removed"), F.col("eligible_posts")))
-    overall = F.col("level") == 1
-    # A community that is null has no row of its own in the reference's result.
-    return totals.where(overall | F.col("subreddit").isNotNull()).select(
-        F.when(overall, "all").otherwise("community").alias("scope"), "subreddit",
-        "eligible_posts", "removed",
-        F.when(overall, rate).otherwise(F.bround(rate, 4)).alias("rate"))
+    columns = ["scope", "subreddit", "eligible_posts", "removed", "rate"]
+    named = per.where(F.col("subreddit").isNotNull())
+    return named.withColumns({"scope": F.lit("community"), "rate": F.bround(rate, 4)}).select(
+        *columns).unionByName(overall.withColumns({
+            "scope": F.lit("all"), "subreddit": F.lit(None).cast("string"), "rate": rate})
+            .select(*columns))
 
 
 # --- the removal probe --------------------------------------------------------
