@@ -9,6 +9,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from checks import inputs, model_queries  # noqa: E402
 from checks.registry import REGISTRY  # noqa: E402
 from tidewatch.operators import models  # noqa: E402
@@ -34,14 +36,15 @@ def timed(action):
 
 
 def scoring(spark, sf_dir):
-    """Batch scoring with a fitted model: whole documents, and their first lines as short posts."""
+    """Batch scoring with a fitted model: whole documents, and each of their lines as a post."""
     docs = settle(model_queries.binary_corpus(spark, sf_dir))
-    titles = settle(inputs.posts(spark, sf_dir).select("id", "title").withColumnRenamed(
-        "title", "text").repartition(spark.sparkContext.defaultParallelism, "id"))
+    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = settle(lines.select(F.concat_ws(":", "id", "line").alias("id"), "text"))
     labelled = inputs.labelled(spark, sf_dir).select("id")
     fitted = models.fit(docs.join(labelled, "id", "left_semi"))
-    results, n = {}, docs.count()
-    for name, rows in (("documents", docs), ("titles", titles)):
+    results = {}
+    for name, rows in (("documents", docs), ("lines", lines)):
+        n = rows.count()
         run(models.predict_proba(fitted, rows))                              # warm up
         seconds = timed(lambda: run(models.predict_proba(fitted, rows)))
         results[name] = {"seconds": seconds, "docs_per_sec": round(n / seconds)}
@@ -62,12 +65,12 @@ def main():
         times[name] = timed(lambda: run(query(spark, sf_dir)))
     score = scoring(spark, sf_dir)
     times["score_documents"] = score["documents"]["seconds"]
-    times["score_titles"] = score["titles"]["seconds"]
+    times["score_lines"] = score["lines"]["seconds"]
     print(json.dumps({
         "metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3),
         "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")),
         "score_docs_per_sec": score["documents"]["docs_per_sec"],
-        "score_titles_per_sec": score["titles"]["docs_per_sec"]}))
+        "score_lines_per_sec": score["lines"]["docs_per_sec"]}))
     spark.stop()
 
 

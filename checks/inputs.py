@@ -32,7 +32,7 @@ def posts(spark, sf_dir, comments=False):
             .otherwise(""))
     born = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("doc_id"), epoch_seconds(F.col("ts")).alias("created_utc"))
-    df = table(spark, sf_dir, "documents").join(born, "doc_id").select(
+    df = widen(table(spark, sf_dir, "documents"), "doc_id").join(born, "doc_id").select(
         n.cast("string").alias("id"), "doc_id", F.col("source").alias("subreddit"),
         "lang", title.alias("title"),
         F.concat(F.substring(F.col("text"), F.length(title) + 2, F.length("text")), tail)

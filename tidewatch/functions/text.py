@@ -52,8 +52,18 @@ def is_blank(text):
     return strip(or_empty(text)) == ""
 
 
+def one_space(text):
+    return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))
+
+
+def spaced_word_count(text):
+    """Words of text whose runs of whitespace are single spaces already."""
+    n_spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(text == "", 0).otherwise(n_spaces + 1)
+
+
 def word_count(text):
-    return F.regexp_count(text, F.lit(f"[^{WS}]+"))
+    return F.size(F.filter(F.split(one_space(text), " "), lambda w: w != ""))
 
 
 def count_mentions(text):
@@ -79,7 +89,7 @@ def strip_leakage(text):
 
 def normalise(text):
     """Links and runs of whitespace become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, URL, " "), f"[{WS}]+", " "))
+    return one_space(F.regexp_replace(text, URL, " "))
 
 
 def title_key(title):

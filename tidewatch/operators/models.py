@@ -16,9 +16,8 @@ from tidewatch.functions import numeric, text as tx
 from tidewatch.operators import metrics
 from tidewatch.operators.logistic import fit_logistic
 from tidewatch.operators.features import (
-    TERM_SALTS, document_terms, numbered, smooth_idf, sublinear)
+    document_terms, join_vocabulary, numbered, smooth_idf, sublinear)
 from tidewatch.plans.ranking import rank_within
-from tidewatch.plans.skew import join_small
 from tidewatch.session import settle
 
 MAX_FEATURES = 2 ** 24
@@ -91,8 +90,7 @@ def _vocabularies(terms, sets, n_docs, min_df, max_features):
 def _training_rows(terms, sets, vocab, n_vocab, classes):
     """One row per model and training document: class number and its L2-normalised weights."""
     facts = terms.select("id", "label", "term", "tf", _members(sets))
-    joined = join_small(facts, vocab, ["model", "term"], n_vocab, "left", salts=TERM_SALTS,
-                        spread=["id"])
+    joined = join_vocabulary(facts, vocab, ["model", "term"], n_vocab)
     w = sublinear(F.col("tf")) * F.col("idf")
     entry = F.when(F.col("idx").isNotNull(), F.struct("idx", w.alias("w")))
     rows = joined.groupBy("model", "id", "label").agg(
@@ -198,8 +196,8 @@ def score_terms(models, terms, carried=(), own=None, broadcast_limit=2_000_000):
     else:
         every = F.explode(F.array(*[F.lit(i) for i in range(len(models.intercepts))]))
         facts = terms.select(*keys, "term", "tf", every.alias("model"))
-    joined = join_small(facts, models.table, ["model", "term"], models.n_rows, "left",
-                        limit=broadcast_limit, salts=TERM_SALTS, spread=["id"])
+    joined = join_vocabulary(facts, models.table, ["model", "term"], models.n_rows,
+                             limit=broadcast_limit)
     w = sublinear(F.col("tf")) * F.col("idf")
     sums = joined.withColumn("_w", w).groupBy(*keys, "model").agg(
         F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"),

@@ -331,7 +331,7 @@ def class_balance(rows):
 
 
 def mean_words(rows):
-    return rows.agg(F.avg(tx.word_count(F.col("text"))).alias("mean_words_per_post"))
+    return rows.agg(F.avg(tx.spaced_word_count(F.col("text"))).alias("mean_words_per_post"))
 
 
 def prepare(raw, *, min_words=3, test_fraction=0.2, split="temporal", seed=42,
@@ -345,7 +345,7 @@ def prepare(raw, *, min_words=3, test_fraction=0.2, split="temporal", seed=42,
         decided.select("title_key", "split"), "title_key")
     wide = assemble(wide, include_comments)
     kept = contract_columns([*raw.columns, "n_comments_kept"], include_comments)
-    tagged = (wide.select(*kept, "split", tx.word_count(F.col("text")).alias("n_words"))
+    tagged = (wide.select(*kept, "split", tx.spaced_word_count(F.col("text")).alias("n_words"))
               .withColumn("removed_reason",
                           F.when((F.col("split") == "train") & (F.col("n_words") < min_words),
                                  TOO_SHORT)))

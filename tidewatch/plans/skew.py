@@ -22,13 +22,6 @@ def join_groups(facts, groups, keys, how="inner", salts=None, spread=None):
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def join_small(facts, groups, keys, n_rows, how="inner", limit=2_000_000, **spreading):
-    """As `join_groups`, broadcast when the known number of group rows is within `limit`."""
-    if n_rows <= limit:
-        return facts.join(F.broadcast(groups), keys, how)
-    return join_groups(facts, groups, keys, how, **spreading)
-
-
 def widen(scan, key):
     """A plain file scan spread over all cores when its files give fewer splits than there are.
 
