@@ -385,7 +385,9 @@ def data_hash_flat(spark, sf_dir):
     return prep.flat_fingerprint(prep.prepare(inputs.posts(spark, sf_dir)).rows)
 
 
-@query("train_test_overlap", "SELECT CAST(0 AS BIGINT) AS n_shared_ids FROM documents LIMIT 1")
+@query("train_test_overlap", f"""WITH {twins.tagged()}
+SELECT count(*) AS n_shared_ids FROM final a JOIN final b USING (id)
+WHERE a.split = 'train' AND b.split = 'test'""")
 def train_test_overlap(spark, sf_dir):
     shared = prep.overlap(prep.prepare(inputs.posts(spark, sf_dir)))
     return shared.agg(F.count(F.lit(1)).alias("n_shared_ids"))

@@ -112,3 +112,17 @@ def test_scores_curve_and_ablation(corpus):
     assert both.train_accuracy >= both.cv_accuracy
     with pytest.raises(ValueError):
         models.fit(corpus, learner="forest")
+
+
+def test_evaluation_document(spark, corpus, tmp_path):
+    from tidewatch.operators.evaluate import evaluation
+    from tidewatch.sources.outputs import write_document
+    posts = corpus.withColumns({"title": F.col("text"), "body": F.lit("")})
+    sections = evaluation(posts, {"a": "alpha|beta", "b": "gamma|delta"}, "c", k=3, seeds=range(1),
+                          floors=(.5, 1.1), fractions=(1.0,), learner="naive_bayes")
+    write_document(str(tmp_path / "report"), **sections)
+    report = spark.read.json(str(tmp_path / "report")).first()
+    assert report.dataset[0].n_posts == 120 and len(report.class_balance) == 3
+    assert report.model[0].lift_over_rule == pytest.approx(
+        report.model[0].cv_accuracy_mean - report.keyword_rule[0].accuracy)
+    assert len(report.flag_precision) == 6 and len(report.operating_points) == 2

@@ -271,7 +271,12 @@ def repeated_predictions(df, k=5, seeds=range(5), **options):
 
 def cv_scores(df, k=5, seeds=range(5), **options):
     """Mean and spread of accuracy and macro F1 over repeated cross-validation, in one row."""
-    scores = fold_scores(repeated_predictions(df, k, seeds, **options), ["seed", "fold"])
+    return summarised(fold_scores(repeated_predictions(df, k, seeds, **options),
+                                  ["seed", "fold"]))
+
+
+def summarised(scores):
+    """One row from the scores of all folds and seeds."""
     return scores.agg(
         F.avg("accuracy").alias("cv_accuracy_mean"),
         F.stddev_pop("accuracy").alias("cv_accuracy_std"),

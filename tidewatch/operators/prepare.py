@@ -15,6 +15,7 @@ from tidewatch.plans.ranking import (
 from tidewatch.plans.skew import join_groups
 from tidewatch.schemas import COMMENTS
 
+# Identifiers with the label, and what can be known when a post is submitted.
 KEY_COLUMNS = ("id", "subreddit", "created_utc", "snapshot_utc")
 SUBMISSION_TIME_FEATURES = (
     "title", "body", "flair", "is_self", "domain", "over_18", "spoiler")
