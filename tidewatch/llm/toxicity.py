@@ -27,10 +27,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewatch.llm import logit
-from tidewatch.llm.shared import text_of
+from tidewatch.llm.shared import text_of, written
 
 MAX_DOCUMENTS = 20_000
 MAX_SEGMENTS = 2_000
@@ -39,6 +40,7 @@ LEAST_SCORE = 5.0            # standard deviations, for a witness
 SPAN, DECAY = 6, 0.6
 LANDMARKS = 120
 COST = 4.0
+CLEAN_WEIGHT = 2.0           # what mistaking all clean segments costs against all witnesses
 THRESHOLD = 0.7
 
 _LETTERS = 28                # 0: neither letter nor space, 1-26: a-z, 27: bytes of other letters
@@ -149,16 +151,16 @@ def train(positive, negative):
     """A `Machine` that separates the two lists of segments."""
     segments = positive + negative
     y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-    weight = np.where(y > 0, len(y) / 2 / max(1, len(positive)), len(y) / 2 / max(1, len(negative)))
-    rows = feature_rows(segments)
+    weight = np.where(y > 0, 0.5, CLEAN_WEIGHT * len(positive) / max(1, len(negative)))
     step = lambda n, most: np.unique(np.linspace(0, n - 1, min(n, most)).astype(int))       # noqa: E731
     marks = np.concatenate((step(len(positive), LANDMARKS // 2),
                             len(positive) + step(len(negative), LANDMARKS // 2)))
-    landmarks = rows[marks]
+    landmarks = feature_rows([segments[i] for i in marks])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
     solid = values > 1e-6 * values.max()
     root = vectors[:, solid] / np.sqrt(values[solid])
-    x = (rows @ landmarks.T).astype(float) @ root
+    x = np.vstack([feature_rows(segments[i:i + 256]) @ landmarks.T for i in range(0, len(segments), 256)])
+    x = x.astype(float) @ root
     w, bias = np.zeros(x.shape[1]), 0.0
     for _ in range(60):                                     # Newton steps on the squared hinge
         inside = 1 - y * (x @ w + bias) > 0
@@ -184,31 +186,33 @@ def labelled_texts(docs, labels, most=MAX_DOCUMENTS):
 
 
 def sentence_segments(sample):
-    """(segment, toxic) per distinct segment of every sentence, lower-cased and at most 40 long."""
+    """(segment, sentence, toxic) per distinct segment of every sentence, lower-cased and at most 40
+    long; the sentence is told by a hash, so that copies of a sentence can count once."""
     def cut(batches):
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 for sentence in _SENTENCE.split(text):
-                    parts = {w.strip(".,;:!?\"'()").lower() for w in sentence.split()}
+                    parts = {w.strip(".,;:!?\"'()").lower() for w in re.split(r"[ \t-\r]+", sentence)}
                     parts.update(w.lower() for w in spelled_out(sentence))
-                    rows += [(p[:40], toxic) for p in parts if len(p) > 2]
+                    name = xxhash.xxh3_64_intdigest(sentence.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    rows += [(p[:40], name, toxic) for p in parts if len(p) > 2]
                 if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["segment", "toxic"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["segment", "sentence", "toxic"])
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["segment", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["segment", "sentence", "toxic"])
     return sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(
-        cut, "segment string, toxic long")
+        cut, "segment string, sentence long, toxic long")
 
 
 def fit(docs, labels, most=MAX_DOCUMENTS):
     """(machine, calibration, share): machine is None without witnesses."""
-    from tidewatch.llm.shared import written
     sample = written(labelled_texts(docs, labels, most), "toxic-sample")
     n, toxic = sample.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long"))).first()
     share = (toxic or 0) / n if n else 0.0
-    counts = written(sentence_segments(sample).groupBy("segment").agg(
+    counts = written(sentence_segments(sample).groupBy("segment", "sentence").agg(
+        F.max("toxic").alias("toxic")).groupBy("segment").agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")), "segments")
     total, bad = counts.agg(F.sum("n"), F.sum("bad")).first()
     if not bad or bad == total:
@@ -218,7 +222,7 @@ def fit(docs, labels, most=MAX_DOCUMENTS):
     scored = counts.withColumn("z", deviation)
     top = scored.where((F.col("z") >= LEAST_SCORE) & (F.col("bad") >= 0.8 * F.col("n"))).orderBy(
         F.desc("z"), "segment").limit(MAX_WITNESSES).toPandas()
-    top = top[top["z"] >= max(LEAST_SCORE, 0.25 * top["z"].max())] if len(top) else top
+    top = top[top["z"] >= max(LEAST_SCORE, 0.4 * top["z"].max())] if len(top) else top
     if not len(top):
         return None, None, share
     witnesses = top["segment"].tolist()
@@ -231,8 +235,9 @@ def fit(docs, labels, most=MAX_DOCUMENTS):
 
     def decide(batches):
         for batch in batches:
-            worst = [machine.worst(s) for s in batch.column("segment").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(worst, pa.float64())],
+            joined = "\n".join(batch.column("segment").to_pylist()).encode("utf-8", "surrogatepass")
+            decisions = machine.segments(np.frombuffer(joined, np.uint8))[1]
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(decisions, pa.float64())],
                                              ["segment", "decision"])
     near = clean.select("segment").mapInArrow(decide, "segment string, decision double").orderBy(
         F.desc("decision"), "segment").limit(MAX_SEGMENTS // 2).toPandas()
