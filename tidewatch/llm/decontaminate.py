@@ -7,8 +7,8 @@ item that stands in the document lies wholly inside a window at most about four
 bounds the similarity of the two sets from below whatever the document's length, and any one of the
 `FUNCTIONS` minima that agrees makes a candidate.
 
-The items' minima go to the tasks as a bit table of fixed size; windows whose minimum hits a set bit
-become rows, joined to the items' minima for the exact candidates. A candidate is confirmed by the
+The items' minima go to the tasks as a Bloom filter of fixed size; windows with a minimum that the
+filter knows become rows, joined to the items' minima for the exact candidates. A candidate is confirmed by the
 share of the item's shingles in the whole document. Documents without a hit never leave their task.
 
 Defined cases: an item of one to four words is one shingle and is found where these words stand in a
@@ -25,7 +25,8 @@ from tidewatch.llm.shared import SHINGLE_WORDS, alnum_words, mix, shingle_hashes
 FUNCTIONS = 64
 LEAST_SIZE = 8               # the smallest partition: items of up to so many shingles
 CONTAINED = 0.75
-TABLE_BITS = 24              # a table of 2 MB, whatever the number of items
+TABLE_BITS = 24              # a filter of 2 MB, whatever the number of items
+PROBES = (40, 20, 0)         # each takes so many bits of a key, from there on
 
 _SEEDS = mix(np.arange(1, 2 * FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _FACTOR, _SHIFT = _SEEDS[:FUNCTIONS] | np.uint64(1), _SEEDS[FUNCTIONS:]
@@ -84,10 +85,11 @@ def item_rows(benchmark):
 
 
 def bit_table(items):
-    """The set bits of all item keys, as an array of 2**TABLE_BITS / 64 words: at most 262,144 rows
-    are collected."""
-    place = F.shiftrightunsigned(F.col("key"), 64 - TABLE_BITS)
-    words = items.select(F.explode("keys").alias("key")).select(
+    """The bits of all item keys, as an array of 2**TABLE_BITS / 64 words: at most 262,144 rows are
+    collected."""
+    places = [F.shiftrightunsigned(F.col("key"), p).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) for p in PROBES]
+    place = F.col("place")
+    words = items.select(F.explode("keys").alias("key")).select(F.explode(F.array(*places)).alias("place")).select(
         F.shiftright(place, 6).alias("word"), (place % 64).cast("int").alias("bit"))
     words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
@@ -99,6 +101,7 @@ def candidates(docs, table, kinds):
     """Rows of documents with at least one hit: doc_id, all distinct shingles, and the hit keys."""
     def search(batches):
         bits = np.unpackbits(table.value.view(np.uint8), bitorder="little")
+        mask = np.uint64((1 << TABLE_BITS) - 1)
         largest = {w: max(p for v, p in kinds if v == w) for w, _ in kinds}
         for batch in batches:
             out = []
@@ -115,7 +118,9 @@ def candidates(docs, table, kinds):
                         if (width, size) in kinds:
                             window = np.minimum(minima, np.concatenate((minima[:, 1:], minima[:, -1:]), axis=1))
                             keys = minima_keys(window, width, size)
-                            hit = keys[bits[keys >> np.uint64(64 - TABLE_BITS)] == 1]
+                            hit = keys.ravel()
+                            for probe in PROBES:
+                                hit = hit[bits[(hit >> np.uint64(probe)) & mask] == 1]
                             if len(hit):
                                 hits.append(np.unique(hit))
                         size *= 2
