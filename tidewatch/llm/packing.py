@@ -16,7 +16,6 @@ configuration. No group of pieces is ever gathered.
 Defined cases: null or empty text is the single end id; a null or repeated doc_id is packed like any
 other row; an empty table gives no rows; other columns are not looked at.
 """
-import re
 import zlib
 
 import numpy as np
@@ -39,26 +38,44 @@ LEAST_FILL = 0.998       # of a sequence, for a configuration of the program
 
 # ---------------------------------------------------------------- token ids
 
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
-
-
 def id_encoder(path):
     """texts -> little-endian 32-bit ids as bytes, as the tokenizers file at `path` gives them.
 
-    Its pre-tokenizer never joins what white space separates, so ids are kept by chunk; texts with
-    white space that not every library agrees on go to the library whole.
+    Its normaliser lower-cases and its pre-tokenizer never joins what white space separates, so ids
+    are kept by chunk between ASCII white space, with A-Z lower-cased. Chunks are encoded many at a
+    time with a special token in between. Texts that may hold a special token go to the library whole,
+    as do all texts when the file promises neither.
     """
+    import json
+
     from tokenizers import Tokenizer
     single_thread()
     tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        settings = json.load(file)
+    steps = [s["type"] for s in (settings["normalizer"] or {}).get("normalizers", [])]
+    splits = [s["type"] for s in (settings["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    special = [t["content"] for t in settings["added_tokens"] if t["special"] and not t["lstrip"] and not t["rstrip"]]
+    by_chunk = steps == ["NFC", "Replace", "Lowercase"] and splits[:1] == ["Split"] and bool(special)
+    opening = {t["content"].encode()[:2].lower() for t in settings["added_tokens"]}
 
     def library(texts):
         return [np.asarray(e.ids, "<u4").tobytes()
                 for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    memo = ChunkMemo(library)
+
+    def many(chunks):
+        mark = special[-1]
+        text = mark.join(c.decode("utf-8", "replace") for c in chunks)
+        ids = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == tokenizer.token_to_id(mark))
+        data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[start:end] for start, end in zip([0, *(4 * cuts + 4).tolist()], ends)]
+
+    memo = ChunkMemo(many, at_once=1000)
 
     def encode(texts):
-        plain = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
+        data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        plain = [d.split() if by_chunk and not any(o in d for o in opening) else None for d in data]
         long = memo.learn([c for c in plain if c is not None])
         ids = [None if c is None else b"".join(map(memo.known.__getitem__, c)) for c in plain]
         memo.forget(long)

@@ -121,15 +121,15 @@ class ChunkMemo:
     Holds at most `limit` chunks, none of over 64 characters beyond the call that needed it.
     """
 
-    def __init__(self, encode, limit=500_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+    def __init__(self, encode, limit=500_000, at_once=20_000):
+        self.encode, self.limit, self.at_once, self.known = encode, limit, at_once, {}
 
     def learn(self, lists):
         if len(self.known) > self.limit:
             self.known.clear()
         missing = list(set().union(*lists).difference(self.known))
-        for i in range(0, len(missing), 20_000):
-            some = missing[i:i + 20_000]
+        for i in range(0, len(missing), self.at_once):
+            some = missing[i:i + self.at_once]
             self.known.update(zip(some, self.encode(some)))
         return [c for c in missing if len(c) > 64]
 
