@@ -116,6 +116,6 @@ def link_within(rows, make_linker, payload, block_weight):
 
     keys = ["group", "block", "share"]
     wanted = [*keys, "id", "part", *payload]
-    second = left.select(*wanted).groupBy(*keys).cogroup(right.select(*wanted).groupBy(*keys)).applyInPandas(
-        across, "a binary, b binary")
+    left, right = (side.select(*wanted).toDF(*wanted).groupBy(*keys) for side in (left, right))
+    second = left.cogroup(right).applyInPandas(across, "a binary, b binary")
     return first.union(written(second, "links-across"))

@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import text_of
+from tidewatch.llm.shared import bound, text_of
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
@@ -80,11 +80,10 @@ def entropy_range(text, window, least):
 
     The state is the counts by character code, the sum of c*log2(c), and the two ends."""
     limit = (math.log2(window) - least) * window + 1e-9      # of the sum, for a window that counts
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
     start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).cast("double").alias("sum"),
                      F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
-    def step(state, i):
+    def step(codes, state, i):
         entering = F.element_at(codes, i)
         leaving = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(-1)
         had = F.element_at(state["n"], F.greatest(leaving, F.lit(0)) + 1)
@@ -98,8 +97,11 @@ def entropy_range(text, window, least):
         return F.struct(counts.alias("n"), total.alias("sum"), first.alias("first"),
                         F.when(hit, i).otherwise(state["last"]).alias("last"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step,
-                       lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    def over(codes):
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, lambda state, i: step(codes, state, i),
+                           lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+    return bound(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c)), over)
 
 
 def _free(span, taken):

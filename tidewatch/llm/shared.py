@@ -26,6 +26,12 @@ def text_of(column="text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def bound(value, body):
+    """The column `body(x)` with x standing for the column `value`, computed once a row even where
+    the body uses it inside lambda functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ---------------------------------------------------------------- words and shingles as hashes
 
 _SPACE = np.zeros(256, bool)

@@ -13,6 +13,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
+from tidewatch.llm.shared import bound
+
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 N_GRAMS = (3, 4, 5)
 COLUMNS = 1 << 14
@@ -41,6 +43,12 @@ https://payday-loans.example.com/apply
 http://cheap-watches.example.org/replica
 https://win-prize.example.com/claim
 http://crypto-doubler.example.com/win
+http://m.casino-slots.example.com/en/12
+https://m.free-slots.example.org/es/2
+https://www.free-pills-now.example.com/fr/9
+http://m.spam-seo.example.org/de/7
+http://blog.pills-shop.example.net/en/31
+https://www.spam-mill.example.com/en/64.html
 """.split()
 ALLOWED = """
 https://www.example.com/en/about
@@ -106,13 +114,18 @@ def rule_of(host, path, rules=RULES):
 
 def grams(text, mark, sizes=N_GRAMS):
     """Marked character n-grams of `text` with a border on both sides, repeats included."""
-    framed = F.concat(F.lit("^"), text, F.lit("$"))
-    found = [F.transform(F.sequence(F.lit(1), F.length(framed) - (n - 1)),
-                         lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))))
-             for n in sizes]
-    found = [F.when(F.length(framed) >= n, g).otherwise(F.array().cast("array<string>"))
-             for n, g in zip(sizes, found)]
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.concat(*found))
+    def of_size(characters, n):
+        places = F.sequence(F.lit(1), F.size(characters) - (n - 1))
+        found = F.transform(places, lambda i: F.concat(
+            F.lit(mark), *[F.element_at(characters, i + k) for k in range(n)]))
+        return F.when(F.size(characters) >= n, found).otherwise(none)
+
+    def of(characters):
+        return F.concat(*[of_size(characters, n) for n in sizes])
+
+    none = F.array().cast("array<string>")
+    characters = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+    return F.when(text == "", none).otherwise(bound(characters, of))
 
 
 def with_grams(urls):
@@ -127,7 +140,7 @@ def seed_urls(spark):
                                  "url string, label double")
 
 
-def fit(labelled, columns=COLUMNS, regularisation=0.02):
+def fit(labelled, columns=COLUMNS, regularisation=0.001):
     """A model on labelled urls (url, label)."""
     steps = [HashingTF(numFeatures=columns, inputCol="_grams", outputCol="_features"),
              LogisticRegression(featuresCol="_features", labelCol="label", regParam=regularisation,
