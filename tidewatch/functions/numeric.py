@@ -61,12 +61,13 @@ def time_digits(seconds):
 
 
 def double_digits(value):
-    """Three digits that sort like the (finite) double they come from.
+    """Three digits that sort like the double they come from; infinities sort outermost.
 
     Binary exponent, then twice 12 bits of the mantissa: at most a few thousand values each however
     the data is spread, which keeps every window that ranks by them small.
     """
-    size, sign = F.abs(value), F.signum(value)
+    infinite, sign = F.abs(value) == float("inf"), F.signum(value)
+    size = F.when(infinite, F.lit(1.0)).otherwise(F.abs(value))
     exponent = F.floor(F.log2(size))
     mantissa = (size / F.pow(F.lit(2.0), exponent) - 1) * 4096
     high = F.floor(mantissa)
@@ -74,4 +75,5 @@ def double_digits(value):
 
     def signed(digit):
         return F.when(value == 0, F.lit(0)).otherwise((sign * digit).cast("long"))
+    exponent = F.when(infinite, F.lit(5000)).otherwise(exponent)
     return [signed(exponent + 2000), signed(high), signed(low)]

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from tidewatch.functions import numeric, text as tx
 from tidewatch.plans.quantiles import exact_quantiles
 from tidewatch.plans.ranking import top_within
-from tidewatch.plans.skew import join_groups
+from tidewatch.plans.skew import join_groups, join_keys
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -86,7 +86,7 @@ def histogram(df, value, bins=30, group=("subreddit",)):
               .groupBy(*group, bin_of.cast("int").alias("bin")).agg(F.sum("n").alias("n")))
     last = F.when(F.col("_width") == 0, 0).otherwise(bins - 1)
     edges = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), last)))
-    return edges.join(counts, [*group, "bin"], "left").select(
+    return join_keys(edges, counts, [*group, "bin"], "left").select(
         *group, "bin", (F.col("_low") + F.col("bin") * F.col("_width")).alias("low"),
         F.when(F.col("bin") == last, F.col("_high"))
         .otherwise(F.col("_low") + (F.col("bin") + 1) * F.col("_width")).alias("high"),

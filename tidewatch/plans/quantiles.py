@@ -30,5 +30,7 @@ def exact_quantiles(df, group, value, quantiles, window_limit=WINDOW_LIMIT):
         position = (F.col("total_n") - 1) * F.lit(float(p))
         low, high = at(F.floor(position)), at(F.ceil(position))
         fraction = F.max(position - F.floor(position))
-        aggregates.append((low + (high - low) * fraction).alias(name))
+        between = F.when(F.abs(high - low) == float("inf"), (1 - fraction) * low + fraction * high).otherwise(
+            low + (high - low) * fraction)                       # an infinity on one side
+        aggregates.append(F.when((fraction == 0) | (low == high), low).otherwise(between).alias(name))
     return ranked.groupBy(*group).agg(*aggregates)

@@ -7,6 +7,8 @@ rows equal in every digit meet in one task.
 """
 from pyspark.sql import Window, functions as F
 
+from tidewatch.plans.skew import join_keys
+
 # Rows of one group that may be sorted in one task.
 WINDOW_LIMIT = 1_000_000
 
@@ -40,7 +42,7 @@ def running_totals(cells, group, digits, measures, order):
             level = level.withColumns(added)
         else:
             level = level.withColumns({f"_{k}": v for k, v in added.items()})
-            level = level.join(above, outer)
+            level = join_keys(level, above, outer)
             level = level.withColumns(
                 {k: F.col(k) + F.col(f"_{k}") for k in added}).drop(*[f"_{k}" for k in added])
         above = level if last else level.drop(*measures)
@@ -62,7 +64,7 @@ def rank_within(df, group, digits, order, alias="rn", window_limit=WINDOW_LIMIT)
     offsets = running_totals(counts, group, coarse, ["_n"], fine) \
         .select(*group, *names, "before__n")
     inner = Window.partitionBy(*group, *names).orderBy(*order)
-    return (rows.join(offsets, [*group, *names])
+    return (join_keys(rows, offsets, [*group, *names])
             .withColumn(alias, F.row_number().over(inner) + F.col("before__n"))
             .drop(*names, "before__n"))
 

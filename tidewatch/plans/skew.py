@@ -6,6 +6,15 @@ def salt_count(df, salts=None):
     return salts or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def join_keys(left, right, keys, how="inner"):
+    """Equi-join on `keys`, where null is a key like any other; `right` loses its key columns."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_groups(facts, groups, keys, how="inner", salts=None, spread=None):
     """`facts` joined to `groups` (unique in `keys`) with every key spread over `salts` slices.
 
@@ -19,7 +28,7 @@ def join_groups(facts, groups, keys, how="inner", salts=None, spread=None):
     n = salt_count(facts, salts)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*(spread or facts.columns)), F.lit(n)).cast("int"))
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return join_keys(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def widen(scan, key):
