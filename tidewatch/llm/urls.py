@@ -4,8 +4,8 @@ The model is fitted by Spark ML on a small labelled table of urls and applied as
 and a fitted transformer, so no row leaves the JVM. Features are the counts of the character
 n-grams of host and path (kept apart), hashed into a fixed number of columns.
 
-Defined cases: a null url or one without `://` has an empty host and path, matches no rule and is
-scored on no n-gram. The longest fitting rule wins; of equally long ones the first given.
+Defined cases: a null url or one without `://` has an empty host and path, matches no rule and
+is allowed, as is any url without n-grams. The longest fitting rule wins; of equally long ones the first given.
 Repeated rows give repeated results; other columns are not looked at.
 """
 from pyspark.ml import Pipeline
@@ -153,6 +153,6 @@ def judge(pages, model, rules=RULES):
     """page_id, host, path, rule and verdict of every row of `pages`."""
     scored = model.transform(with_grams(pages.select("page_id", "url")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    learned = F.when(F.col("_blocked") > 0.5, "block").otherwise("allow")
+    learned = F.when((F.col("_blocked") > 0.5) & (F.size("_grams") > 0), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"),
                          F.coalesce(verdict, learned).alias("verdict"))
