@@ -16,10 +16,13 @@ configuration. No group of pieces is ever gathered.
 Defined cases: null or empty text is the single end id; a null or repeated doc_id is packed like any
 other row; an empty table gives no rows; other columns are not looked at.
 """
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -38,13 +41,27 @@ LEAST_FILL = 0.998       # of a sequence, for a configuration of the program
 
 # ---------------------------------------------------------------- token ids
 
+_LETTER_RUNS = regex.compile(r"\p{L}+|\P{L}+")
+_SIMPLE = regex.compile(r"[^'\u0130\u0500-\U0010ffff]*")     # long-known letters that stay one when lower-cased
+
+
+def letter_runs(chunk):
+    """`chunk` (no white space) at its borders between letters and others, which the pre-tokenizer never
+    crosses; whole where an apostrophe may start a contraction or normalising may move a border."""
+    if _SIMPLE.fullmatch(chunk) and unicodedata.is_normalized("NFC", chunk):
+        return _LETTER_RUNS.findall(chunk)
+    return [chunk]
+
+
+@lru_cache(maxsize=2)
 def id_encoder(path):
     """texts -> little-endian 32-bit ids as bytes, as the tokenizers file at `path` gives them.
 
     Its normaliser lower-cases and its pre-tokenizer never joins what white space separates, so ids
-    are kept by chunk between ASCII white space, with A-Z lower-cased. Chunks are encoded many at a
-    time with a special token in between. Texts that may hold a special token go to the library whole,
-    as do all texts when the file promises neither.
+    are kept by chunk between ASCII white space, with A-Z lower-cased, and those of a chunk are put
+    together from its runs of letters and of others. Runs are encoded many at a time with a special
+    token in between. Texts that may hold a special token go to the library whole, as do all texts
+    when the file promises neither. A worker process keeps one encoder for all its tasks.
     """
     import json
 
@@ -61,17 +78,25 @@ def id_encoder(path):
 
     def library(texts):
         return [np.asarray(e.ids, "<u4").tobytes()
-                for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+                for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def many(chunks):
+    def many(runs):
         mark = special[-1]
-        text = mark.join(c.decode("utf-8", "replace") for c in chunks)
-        ids = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        ids = np.frombuffer(library([mark.join(runs)])[0], "<u4")
         cuts = np.flatnonzero(ids == tokenizer.token_to_id(mark))
         data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
         return [data[start:end] for start, end in zip([0, *(4 * cuts + 4).tolist()], ends)]
 
-    memo = ChunkMemo(many, at_once=1000)
+    runs = ChunkMemo(many, limit=300_000, at_once=5000)
+
+    def of_chunks(chunks):
+        parts = [letter_runs(c.decode("utf-8", "replace")) for c in chunks]
+        long = runs.learn(parts)
+        ids = [b"".join(map(runs.known.__getitem__, p)) for p in parts]
+        runs.forget(long)
+        return ids
+
+    memo = ChunkMemo(of_chunks)
 
     def encode(texts):
         data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
