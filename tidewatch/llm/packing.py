@@ -87,7 +87,7 @@ def id_encoder(path):
         data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
         return [data[start:end] for start, end in zip([0, *(4 * cuts + 4).tolist()], ends)]
 
-    runs = ChunkMemo(many, limit=300_000, at_once=5000)
+    runs = ChunkMemo(many, limit=600_000, at_once=5000)
 
     def of_chunks(chunks):
         parts = [letter_runs(c.decode("utf-8", "replace")) for c in chunks]
