@@ -156,8 +156,10 @@ def fit(docs, labels, max_labelled=MAX_LABELLED, max_pool=MAX_POOL):
                  pa.array(list(stated), pa.list_(pa.float64()))], ["doc_id", "quality", "written", "stated"])
 
     rows = _columns(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(
-        features, "doc_id long, quality int, written array<double>, stated array<double>").toArrow().to_pandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+        features, "doc_id long, quality int, written array<double>, stated array<double>")
+    rows = rows.groupBy("doc_id").agg(                       # one row per id, however often it is repeated
+        F.max("quality").alias("quality"), F.min(F.struct("written", "stated")).alias("views"))
+    rows = rows.select("doc_id", "quality", "views.*").toArrow().to_pandas().sort_values("doc_id", ignore_index=True)
     labelled = rows["quality"].notna().to_numpy()
     y = rows["quality"].to_numpy(float)[labelled]
     if len(np.unique(y)) < 2:
