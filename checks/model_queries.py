@@ -169,13 +169,13 @@ def oof_predictions(spark, sf_dir):
 
 @query("cv_scores")
 def cv_scores(spark, sf_dir):
-    return models.cv_scores(binary_corpus(spark, sf_dir), 5, range(2))
+    return models.cv_scores(binary_corpus(spark, sf_dir))
 
 
 @query("lift_over_rule")
 def lift_over_rule(spark, sf_dir):
     docs = binary_corpus(spark, sf_dir)
-    cv = models.cv_scores(docs, 5, range(1), learner="naive_bayes")
+    cv = models.cv_scores(docs)
     rule = tx.keyword_rule(F.col("text"), {"en": PATTERNS["first"], "other": PATTERNS["second"]},
                            "en")
     return models.lift_over_rule(docs, cv, rule)
@@ -183,7 +183,7 @@ def lift_over_rule(spark, sf_dir):
 
 @query("ablation")
 def ablation(spark, sf_dir):
-    return models.ablation(binary_corpus(spark, sf_dir), tx.any_token(PATTERNS), 5, range(1))
+    return models.ablation(binary_corpus(spark, sf_dir), tx.any_token(PATTERNS))
 
 
 @query("compare_learners")
@@ -193,13 +193,13 @@ def compare_learners(spark, sf_dir):
 
 @query("learning_curve")
 def learning_curve(spark, sf_dir):
-    return models.learning_curve(binary_corpus(spark, sf_dir), (0.05, 0.2, 1.0), k=3)
+    return models.learning_curve(binary_corpus(spark, sf_dir))
 
 
 @query("oof_operating_points")
 def oof_operating_points(spark, sf_dir):
     """Threshold policy on the classifier's own out-of-fold predictions, over seeds."""
-    runs = models.repeated_predictions(corpus(spark, sf_dir), 5, range(2), learner="naive_bayes")
+    runs = models.repeated_predictions(corpus(spark, sf_dir))
     scored = runs.withColumn("correct", F.col("predicted") == F.col("label"))
     sweep = policy.threshold_sweep(scored, policy.PRECISION_FLOORS, group=["seed"])
-    return policy.operating_point_over_seeds(policy.best_operating_point(sweep, ["seed"]), 2)
+    return policy.operating_point_over_seeds(policy.best_operating_point(sweep, ["seed"]), 5)

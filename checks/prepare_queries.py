@@ -376,13 +376,16 @@ def prep_report_with_comments(spark, sf_dir):
     return _rounded(prep.prepare(raw, include_comments=True).report)
 
 
-@query("data_hash_flat", f"""WITH {twins.tagged()}
-SELECT substr(sha256(
-  'train' || (SELECT string_agg(id, chr(10) ORDER BY id) FROM final WHERE split = 'train') ||
-  'test' || (SELECT string_agg(id, chr(10) ORDER BY id) FROM final WHERE split = 'test')), 1, 12)
-  AS data_hash""")
-def data_hash_flat(spark, sf_dir):
-    return prep.flat_fingerprint(prep.prepare(inputs.posts(spark, sf_dir)).rows)
+@query("data_hash", f"""WITH {twins.tagged()},
+leaves AS (
+  SELECT split, substr(md5(id), 1, 4) AS bucket, count(*) AS n,
+         sha256(string_agg(id, chr(10) ORDER BY id)) AS leaf
+  FROM final GROUP BY split, bucket)
+SELECT substr(sha256(string_agg(split || ':' || bucket || ':' || leaf, chr(10)
+                                ORDER BY split, bucket)), 1, 12) AS data_hash,
+       CAST(sum(n) AS BIGINT) AS n_ids FROM leaves""")
+def data_hash(spark, sf_dir):
+    return prep.fingerprint(prep.prepare(inputs.posts(spark, sf_dir)).rows)
 
 
 @query("train_test_overlap", f"""WITH {twins.tagged()}

@@ -91,8 +91,9 @@ def test_saved_model_scores_alike_on_both_join_paths(spark, corpus, tmp_path):
     assert len(first) == 120
 
 
-def test_folded_vocabulary_still_fits(corpus):
-    fitted = models.fit(corpus, max_features=16)
+def test_a_bounded_share_of_the_labelled_rows_is_enough_to_fit(corpus):
+    fitted = models.fit(corpus, max_fit_rows=80)
+    assert fitted.n_rows < models.fit(corpus).n_rows
     rows = models.predict_proba(fitted, corpus, carried=["subreddit"]).collect()
     assert sum(r.predicted == r.subreddit for r in rows) > 60
 

@@ -95,17 +95,9 @@ def tfidf_of(df, doc="id", text="text", min_df=2, bigrams=True):
     return tfidf(terms, vocabulary(terms, df.count(), min_df), doc)
 
 
-def numbered(vocab, max_features):
-    """Adds a column index to each term, and tells how many columns there are.
-
-    Terms are numbered without gaps. A vocabulary beyond `max_features`, which the coefficient
-    vector of one fit cannot hold, is folded into that many columns by hash instead.
-    """
-    n = vocab.count()
-    if n > max_features:
-        index = F.pmod(F.xxhash64("term"), F.lit(max_features)).cast("int")
-        return vocab.withColumn("idx", index), max_features
+def numbered(vocab):
+    """Adds a column index without gaps to each term, and tells how many columns there are."""
     hashed = vocab.withColumn("_h", F.md5("term"))
     ranked = rank_within(hashed, [], numeric.hash_digits(F.col("_h")),
                          [F.col("_h"), F.col("term")], "idx")
-    return ranked.withColumn("idx", (F.col("idx") - 1).cast("int")).drop("_h"), n
+    return ranked.withColumn("idx", (F.col("idx") - 1).cast("int")).drop("_h"), vocab.count()

@@ -1,6 +1,6 @@
 """Classification metrics and resampling, each from one aggregation to few cells."""
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import double_digits, nan_if_null, share
@@ -119,40 +119,27 @@ def cohen_kappa(df, a, b, group=()):
 
 # --- bootstrap ----------------------------------------------------------------
 
-_POISSON_CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(16)]
-
-
-def _uniform(*parts):
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(2 ** 53)
-
-
-def _poisson_total(n, parts, exact_up_to=30):
-    """A Poisson(n) draw: n unit draws added up, or the skew-corrected normal when n is larger."""
-    uniforms = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(exact_up_to)).cast("int")),
-                           lambda i: _uniform(*parts, i))
-    small = F.aggregate(uniforms, F.lit(0), lambda total, u: total + sum(
-        ((u >= F.lit(c)).cast("int") for c in _POISSON_CDF), F.lit(0)))
-    u1 = F.greatest(_uniform(*parts, F.lit(-1)), F.lit(2.0 ** -53))
-    z = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * _uniform(*parts, F.lit(-2)))
-    large = F.round(n + F.sqrt(n.cast("double")) * z + (z * z - 1) / 6)
-    return F.when(n <= exact_up_to, small.cast("double")).otherwise(
-        F.greatest(F.lit(0.0), large))
+def _poisson_draws(replicates):
+    """A function of (count, key): one Poisson(count) draw per replicate, seeded by the key."""
+    @F.pandas_udf("array<long>")
+    def draws(n: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng(k % 2 ** 64).poisson(m, replicates)
+                          for m, k in zip(n.tolist(), key.tolist())])
+    return draws
 
 
 def bootstrap_ci(df, value, group=(), replicates=N_BOOTSTRAP, seed=42):
     """95% percentile interval of the mean under Poisson resampling.
 
-    Rows with equal values are exchangeable, so they are counted first and each replicate draws one
-    weight per (group, value): the work after the first aggregation does not grow with the rows.
+    Rows with equal values are exchangeable, so they are counted first, and as a sum of n unit draws
+    is a Poisson(n) draw, each replicate needs one exact draw per (group, value).
     """
     cells = (df.where(F.col(value).isNotNull())
              .groupBy(*group, F.col(value).cast("double").alias("v"))
              .agg(F.count(F.lit(1)).alias("n")))
-    # The cells are few: spread the draws, which are the work, over all tasks by replicate.
-    drawn = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))) \
-        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "replicate")
-    parts = [F.lit(seed), *[F.col(g) for g in group], F.col("v"), F.col("replicate")]
-    drawn = drawn.withColumn("w", _poisson_total(F.col("n"), parts))
+    key = F.xxhash64(F.lit(seed), *[F.col(g) for g in group], F.col("v"))
+    drawn = cells.select(*group, "v", F.posexplode(
+        _poisson_draws(replicates)(F.col("n"), key)).alias("replicate", "w"))
     means = drawn.groupBy(*group, "replicate").agg(
         share(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
     return means.groupBy(*group).agg(

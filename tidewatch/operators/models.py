@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.functions import numeric, text as tx
 from tidewatch.operators import metrics
@@ -20,7 +20,9 @@ from tidewatch.operators.features import (
 from tidewatch.plans.ranking import rank_within
 from tidewatch.session import settle
 
-MAX_FEATURES = 2 ** 24
+# Labelled rows a logistic model is fitted on, about: of a larger training set a hashed share is
+# taken, which bounds the vocabulary and so the coefficient vectors. Naive Bayes takes every row.
+MAX_FIT_ROWS = 200_000
 LEARNERS = ("logistic", "naive_bayes")
 
 
@@ -69,8 +71,8 @@ def _members(sets):
         *[F.when(s, F.lit(i)) for i, s in enumerate(sets)]))).alias("model")
 
 
-def _vocabularies(terms, sets, n_docs, min_df, max_features):
-    """(model, term, idx, idf) of all models, and how many columns they share.
+def _vocabularies(terms, sets, n_docs, min_df, number):
+    """(model, term, idf) of all models, with `number` also idx and how many columns they share.
 
     Document frequencies of all sets are counted in one pass over the terms.
     """
@@ -78,13 +80,16 @@ def _vocabularies(terms, sets, n_docs, min_df, max_features):
         *[F.count_if(s).alias(f"df{i}") for i, s in enumerate(sets)])
     largest = F.greatest(*[F.col(f"df{i}") for i in range(len(sets))]) if len(sets) > 1 \
         else F.col("df0")
-    shared, n_features = numbered(settle(counted.where(largest >= min_df)), max_features)
+    shared, n_features = settle(counted.where(largest >= min_df)), None
+    if number:
+        shared, n_features = numbered(shared)
     entries = F.array(*[
         F.struct(F.lit(i).alias("model"), F.col(f"df{i}").alias("df"),
                  smooth_idf(F.col(f"df{i}"), n).alias("idf")) for i, n in enumerate(n_docs)])
-    vocab = shared.select("term", "idx", F.explode(entries).alias("e")).where(
+    index = ["idx"] if number else []
+    vocab = shared.select("term", *index, F.explode(entries).alias("e")).where(
         F.col("e.df") >= min_df)
-    return settle(vocab.select("e.model", "term", "idx", "e.idf")), n_features
+    return settle(vocab.select("e.model", "term", *index, "e.idf")), n_features
 
 
 def _training_rows(terms, sets, vocab, n_vocab, classes):
@@ -119,56 +124,76 @@ def _coefficient_rows(spark, coefficients, slice_rows=1_000_000):
                         .alias("coef"))
 
 
-def _naive_bayes(rows, counts, alpha, vocab_sizes):
-    """Smoothed log probability of each term per class (model, idx, coef), and log priors."""
-    k = counts.shape[1]
-    x = (rows.select("model", "y", F.explode(F.arrays_zip("idx", "x")).alias("e"))
-         .groupBy("model", F.col("e.idx").alias("idx"))
-         .agg(*[F.sum(F.when(F.col("y") == c, F.col("e.x")).otherwise(0.0)).alias(f"m{c}")
-                for c in range(k)]))
-    x = settle(x)
-    totals = x.groupBy("model").agg(*[F.sum(f"m{c}") for c in range(k)]).collect()
-    logs = [[0.0] * k for _ in counts]
+def _naive_bayes(terms, sets, vocab, vocab_sizes, counts, classes, alpha):
+    """(model, term, idf, coef) with smoothed log probabilities per class, and log priors."""
+    facts = terms.select("id", "label", "term", "tf", _members(sets))
+    known = join_vocabulary(facts, vocab, ["model", "term"], sum(vocab_sizes)) \
+        .where(F.col("idf").isNotNull()) \
+        .select("model", "id", "label", "term", "idf",
+                (sublinear(F.col("tf")) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("model", "id")))
+    x = settle(known.withColumn("x", F.col("w") / norm).groupBy("model", "term").agg(
+        F.max("idf").alias("idf"),
+        *[F.sum(F.when(F.col("label") == label, F.col("x")).otherwise(0.0)).alias(f"m{c}")
+          for c, label in enumerate(classes)]))
+    totals = x.groupBy("model").agg(*[F.sum(f"m{c}") for c in range(len(classes))]).collect()
+    logs = [[0.0] * len(classes) for _ in counts]
     for row in totals:                                       # one row per model
         logs[row[0]] = [float(np.log(m + alpha * vocab_sizes[row[0]])) for m in row[1:]]
     log_total = F.get(F.array(*[F.array(*[F.lit(v) for v in row]) for row in logs]),
                       F.col("model"))
-    table = x.select("model", "idx", F.array(*[
-        F.ln(F.col(f"m{c}") + alpha) - F.get(log_total, F.lit(c)) for c in range(k)])
+    table = x.select("model", "term", "idf", F.array(*[
+        F.ln(F.col(f"m{c}") + alpha) - F.get(log_total, F.lit(c)) for c in range(len(classes))])
         .alias("coef"))
     with np.errstate(divide="ignore"):
         priors = np.log(counts / counts.sum(axis=1, keepdims=True))
     return table, priors
 
 
+def _class_sizes(docs, label, sets):
+    """The classes in order and an array of their sizes in each training set."""
+    sizes = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(
+        *[F.count_if(s).alias(f"n{i}") for i, s in enumerate(sets)]).collect()  # row per class
+    sizes = sorted(sizes, key=lambda r: r["label"])
+    return [r["label"] for r in sizes], np.array(
+        [[float(r[f"n{i}"]) for r in sizes] for i in range(len(sets))])
+
+
+def _within(condition, n, most):
+    """A training set of n rows cut to about `most` by hash of the id."""
+    if n <= most:
+        return condition
+    return condition & (F.pmod(F.xxhash64(F.lit("fit"), F.col("id")), F.lit(2 ** 40)) < int(
+        most / n * 2 ** 40))
+
+
 def fit_models(docs, terms, sets, *, learner="logistic", label="subreddit", min_df=2, C=1.0,
-               alpha=1.0, max_iter=2000, tol=1e-4, max_features=MAX_FEATURES):
+               alpha=1.0, max_iter=2000, tol=1e-4, max_fit_rows=MAX_FIT_ROWS):
     """Fits one model per training set, all of them together.
 
     `sets` are conditions on the columns that `docs` and `terms` share; `terms` comes from
-    `training_terms`.
+    `training_terms`. A logistic model takes about `max_fit_rows` rows of a larger set.
     """
     if learner not in LEARNERS:
         raise ValueError(f"learner must be one of {LEARNERS}, got {learner!r}")
-    sizes = docs.groupBy(F.col(label).alias("label")).agg(
-        *[F.count_if(s).alias(f"n{i}") for i, s in enumerate(sets)]).collect()  # row per class
-    sizes = sorted((r for r in sizes if r["label"] is not None), key=lambda r: r["label"])
-    classes = [r["label"] for r in sizes]
-    counts = np.array([[float(r[f"n{i}"]) for r in sizes] for i in range(len(sets))])
+    classes, counts = _class_sizes(docs, label, sets)
+    if learner == "logistic" and counts.sum(axis=1).max(initial=0) > max_fit_rows:
+        sets = [_within(s, n, max_fit_rows) for s, n in zip(sets, counts.sum(axis=1))]
+        classes, counts = _class_sizes(docs, label, sets)
     n_docs = [int(n) for n in counts.sum(axis=1)]
     terms = terms.where(F.col("label").isNotNull())
-    vocab, n_features = _vocabularies(terms, sets, n_docs, min_df, max_features)
+    vocab, n_features = _vocabularies(terms, sets, n_docs, min_df, learner == "logistic")
     in_vocab = {r["model"]: r["n"] for r in vocab.groupBy("model").agg(
         F.count(F.lit(1)).alias("n")).collect()}             # one row per model
     vocab_sizes = [in_vocab.get(i, 0) for i in range(len(sets))]
     n_rows = sum(vocab_sizes)
-    rows = _training_rows(terms, sets, vocab, n_rows, classes)
     if learner == "logistic":
+        rows = _training_rows(terms, sets, vocab, n_rows, classes)
         values, intercepts = fit_logistic(rows, n_docs, len(classes), n_features, C, max_iter, tol)
-        coefficients = _coefficient_rows(docs.sparkSession, values)
+        table = vocab.join(_coefficient_rows(docs.sparkSession, values), ["model", "idx"]).select(
+            "model", "term", "idf", "coef")
     else:
-        coefficients, intercepts = _naive_bayes(rows, counts, alpha, vocab_sizes)
-    table = vocab.join(coefficients, ["model", "idx"]).select("model", "term", "idf", "coef")
+        table, intercepts = _naive_bayes(terms, sets, vocab, vocab_sizes, counts, classes, alpha)
     return LinearModels(classes, [[float(b) for b in row] for row in intercepts], settle(table),
                         n_rows)
 
@@ -283,9 +308,12 @@ def summarised(scores):
         F.avg("macro_f1").alias("cv_macro_f1_mean"), F.count(F.lit(1)).alias("n_fits"))
 
 
-def ablation(df, pattern, k=5, seeds=range(5), text="text", **options):
-    """Cross-validated accuracy with and without the given tokens in the text."""
-    whole = cv_scores(df, k, seeds, text=text, **options).select(
+def ablation(df, pattern, k=5, seeds=range(5), text="text", cv=None, **options):
+    """Cross-validated accuracy with and without the given tokens in the text.
+
+    `cv` are the scores of `cv_scores` on the whole text, where they are known already.
+    """
+    whole = (cv if cv is not None else cv_scores(df, k, seeds, text=text, **options)).select(
         F.lit("whole").alias("variant"), "cv_accuracy_mean")
     stripped = df.withColumn(text, tx.strip_tokens(F.col(text), pattern))
     less = cv_scores(stripped, k, seeds, text=text, **options).select(

@@ -278,22 +278,6 @@ def fingerprint(df, digits=4):
         _root().alias("data_hash"), F.coalesce(F.sum("n_ids"), F.lit(0)).alias("n_ids"))
 
 
-def flat_fingerprint(df, limit=1_000_000):
-    """The fingerprint as one hash over all sorted ids; only for data sets within `limit` rows.
-
-    A single running hash cannot be computed in parallel, so larger data is refused: use
-    `fingerprint`, which has no such limit.
-    """
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} ids: use fingerprint()")
-
-    def side(name):
-        ids = F.collect_list(F.when(F.col("split") == name, F.col("id").cast("string")))
-        return F.concat(F.lit(name), F.array_join(F.sort_array(ids), "\n"))
-    return df.agg(F.substring(F.sha2(F.concat(side("train"), side("test")), 256), 1, 12)
-                  .alias("data_hash"))
-
-
 # --- the whole preparation ----------------------------------------------------
 
 @dataclass
