@@ -126,6 +126,29 @@ def test_labels_are_recorded_once(spark, tmp_path):
     assert labels.scan_labels(spark, tmp_path / "labels").count() == 2
 
 
+def test_an_append_run_twice_leaves_one_label_a_post(spark, tmp_path):
+    raw = posts(spark, ["p0", "p1"]).withColumn("created_utc", F.lit(NOW - 72 * 3600))
+    labels.record_labels(raw, spark.createDataFrame([], "id string, removed_by_category string"),
+                         tmp_path / "labels", NOW)
+    torn = labels.read_or_empty(spark, tmp_path / "labels", LABEL)
+    labels.append_labels(torn.where("id = 'p1'").withColumn("checked_utc", F.lit(NOW + 9)),
+                         tmp_path / "labels")
+    rows = labels.scan_labels(spark, tmp_path / "labels").collect()
+    assert sorted((r.id, r.checked_utc) for r in rows) == [("p0", NOW), ("p1", NOW)]
+
+
+def test_a_large_community_is_written_by_many_tasks(spark, tmp_path):
+    rows = posts(spark, [f"p{i}" for i in range(4000)], "busy").unionByName(
+        posts(spark, ["q"], "calm")).unionByName(posts(spark, ["n"], None))
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"       # small partitions are put together
+    spark.conf.set(merge, "false")
+    snapshots.append_snapshots(rows, tmp_path / "raw", rows_per_file=100)
+    spark.conf.unset(merge)
+    tasks = {p.name.split("-")[1] for p in (tmp_path / "raw" / "subreddit=busy").glob("part-*")}
+    assert len(tasks) > 1 and len(list((tmp_path / "raw" / "subreddit=calm").glob("part-*"))) == 1
+    assert snapshots.scan_snapshots(spark, tmp_path / "raw").count() == 4002
+
+
 def test_ingest_stream_stores_each_id_once_ever(spark, tmp_path):
     landing, store = str(tmp_path / "landing"), tmp_path / "store"
     for names in (["a", "b"], ["b", "c", "d"], ["a", "e"]):
@@ -155,12 +178,12 @@ def test_label_stream(spark, tmp_path):
 def test_submission_stream_to_prepared_files(spark, tmp_path):
     """Landing files to store to prepared data set, with moderator and leaking comments."""
     comments = lambda sub: [                                                 # noqa: E731
-        (f"Welcome to r/{sub}!", 1, "AutoModerator", True, "moderator"),
-        (f"saw this on r/{sub}, love this sub", 5, "fan", False, None),
-        ("genuinely great point", 3, "other_fan", False, None)]
-    rows = [(f"{sub}{i}", sub, f"thread {i} about {sub} things", "", 1, 3, 1.6e9 + i * 60, .9, None,
+        ("Mind the tide tables before posting", 1, "AutoModerator", True, "moderator"),
+        (f"moved here from /r/{sub} because this subreddit answers", 5, "gull", False, None),
+        ("the harbour wall held up", 3, "tern", False, None)]
+    rows = [(f"{sub}{i}", sub, f"{sub} logbook page {i}", "", 1, 3, 1.6e9 + i * 60, .9, None,
              True, "", "", False, False, comments(sub))
-            for sub in ("marvel", "harrypotter") for i in range(20)]
+            for sub in ("dinghies", "lighthouses") for i in range(20)]
     spark.createDataFrame(rows, SUBMISSION).coalesce(1).write.json(str(tmp_path / "landing"))
     jobs.submission_stream(spark, tmp_path / "landing", tmp_path / "store", tmp_path / "cp",
                            lambda: NOW, comments_per_post=10).awaitTermination(120)
@@ -172,7 +195,7 @@ def test_submission_stream_to_prepared_files(spark, tmp_path):
     assert target.endswith(report.data_hash)
     train = outputs.read_prepared(spark, target, "train")
     text = " ".join(r.text for r in train.collect())
-    assert "genuinely great point" in text and "Welcome" not in text and "r/" not in text
+    assert "the harbour wall held up" in text and "tide tables" not in text and "r/" not in text
     document = spark.read.json(f"{target}/report").first()
     assert document.report[0].output_posts == 40
 

@@ -16,30 +16,30 @@ def comment(body, author="someone", stickied=False, distinguished=None):
 
 
 def test_comment_classes_and_kept_bodies(spark):
-    comments = [comment("  great scene "), comment("Welcome!", author="AutoModerator"),
-                comment("Pinned", stickied=True), comment("rule 3", distinguished="moderator"),
-                comment("[deleted]")]
+    comments = [comment("\tthe spring tide \n"), comment("Beep", author="TideTableBOT"),
+                comment("read me", stickied=True), comment("locked", distinguished="admin"),
+                comment(" [removed] ")]
     df = spark.createDataFrame([(comments,)], "c array<struct<body:string,score:bigint,"
                                "author:string,is_stickied:boolean,distinguished:string>>")
     row = df.select(F.transform("c", tx.comment_class).alias("k"),
                     tx.kept_comments(F.col("c")).alias("kept")).first()
-    assert row.kept == ["great scene"]
+    assert row.kept == ["the spring tide"]
     assert row.k == ["kept", "bot", "moderator_or_stickied", "moderator_or_stickied",
                      "deleted_or_removed"]
 
 
 @pytest.mark.parametrize("author, bot", [
-    ("AutoModerator", True), ("RemindMeBot", True), ("some_helper_bot", True),
-    ("regular_fan", False), ("", False), (None, False)])
+    ("automoderator", True), ("TideTableBOT", True), ("robot", True), ("bottle", False),
+    ("bot_keeper", False), ("", False), (None, False)])
 def test_is_bot(spark, author, bot):
     assert evaluate(spark, tx.is_bot, author) is bot
 
 
 @pytest.mark.parametrize("text, mentions, own", [
-    ("crossposting from r/marvel and /r/HarryPotter", 2, 0),
-    ("I love this sub, best subreddit ever", 0, 1),
-    ("love this r/marvel sub", 1, 1),
-    ("the Marvel movies are great", 0, 0),
+    ("/R/Knots beats r/buoys_2, r/knots", 3, 0),
+    ("does this  subreddit know? a subreddit might", 0, 1),
+    ("is this /r/knots sub open", 1, 1),
+    ("knots and buoys", 0, 0),
     ("r/x is too short, r/" + "a" * 23 + " too long", 0, 0),
     ("ér/marvel and x/r/marvel are no mentions", 0, 0),
     ("THIS SUBREDDIT and this subs", 0, 1)])
@@ -51,7 +51,7 @@ def test_leakage(spark, text, mentions, own):
 
 
 def test_franchise_words_stay(spark):
-    assert "Marvel" in evaluate(spark, tx.strip_leakage, "the Marvel movies")
+    assert evaluate(spark, tx.strip_leakage, "Thanos sails") == "Thanos sails"
 
 
 @pytest.mark.parametrize("text, n", [
@@ -62,14 +62,14 @@ def test_word_count_splits_like_python(spark, text, n):
 
 def test_normalise_and_title_key(spark):
     assert evaluate(spark, tx.normalise, " see\nhttps://x.y/z?q  now ") == "see now"
-    assert evaluate(spark, tx.title_key, "Hello, World!") == \
-        evaluate(spark, tx.title_key, "hello   world") == "hello world"
+    assert evaluate(spark, tx.title_key, "¡Ebb & flow-2!") == \
+        evaluate(spark, tx.title_key, "ebb\tflow 2") == "ebb flow 2"
     assert evaluate(spark, tx.title_key, None) == evaluate(spark, tx.title_key, "¿?") == ""
 
 
 @pytest.mark.parametrize("text, label", [
-    ("Thanos returns", "marvel"), ("back to Hogwarts", "harrypotter"),
-    ("a quiet evening", "harrypotter"), ("thanos at hogwarts", "harrypotter")])
+    ("THANOS on deck", "marvel"), ("moored off hogwarts", "harrypotter"),
+    ("slack water", "harrypotter"), ("Hogwarts, then Thanos", "harrypotter")])
 def test_keyword_rule(spark, text, label):
     rule = lambda t: tx.keyword_rule(t, tx.FRANCHISE_TOKENS, "harrypotter")
     assert evaluate(spark, rule, text) == label

@@ -82,18 +82,18 @@ def scored(spark, rows):
 
 
 def test_decide_is_inclusive(spark):
-    df = scored(spark, [(.91, True), (.90, True), (.89, True)])
-    assert [r.action for r in policy.decisions(df, .90).collect()] == [
-        "auto_resolve", "auto_resolve", "escalate_to_human"]
+    df = scored(spark, [(.75, True), (.7499, False), (1.0, False)])
+    assert [r.action for r in policy.decisions(df, .75).collect()] == [
+        "auto_resolve", "escalate_to_human", "auto_resolve"]
 
 
-def test_best_point_covers_the_confident_half(spark):
-    df = scored(spark, [(.95, True)] * 10 + [(.60, False)] * 10)
+def test_best_point_stops_above_the_errors(spark):
+    df = scored(spark, [(.82, True)] * 6 + [(.97, True)] * 3 + [(.60, False)] * 3)
     best = policy.best_operating_point(policy.threshold_sweep(df)).first()
-    assert (best.coverage, best.n_errors_covered, best.precision) == (.5, 0, 1.0)
+    assert (best.coverage, best.n_errors_covered, best.precision) == (.75, 0, 1.0)
     # The grid's own step is 0.6000000000000001, so it already leaves the 0.60 rows out.
     assert policy.GRID[10] > .60 and best.threshold == pytest.approx(.60)
-    half_wrong = scored(spark, [(.80, True), (.80, False)] * 10)
+    half_wrong = scored(spark, [(.71, True)] * 3 + [(.88, False)])
     assert policy.best_operating_point(policy.threshold_sweep(half_wrong)).isEmpty()
 
 
@@ -115,10 +115,10 @@ def test_exact_grid_value(spark):
 
 
 def test_flag_precision(spark):
-    cases = [(.99, .01), (1.0, .01), (0.0, 0.0)]
+    cases = [(.8, .2), (1.0, .3), (0.0, 0.0)]
     df = spark.createDataFrame(cases, "p double, r double")
     got = [r[0] for r in df.select(flag_precision(F.col("p"), F.col("r"))).collect()]
-    assert got[0] == pytest.approx(.5, abs=.02) and got[1:] == [1.0, 0.0]
+    assert got[0] == pytest.approx(.5) and got[1:] == [1.0, 0.0]
 
 
 def test_points_over_seeds(spark):
@@ -235,26 +235,28 @@ def test_annotator_summary(spark):
 @pytest.mark.parametrize("block", [256, 1])
 def test_agreement_skips_unshared_posts(spark, block):
     answers = spark.createDataFrame(
-        [("p0", "a", "marvel"), ("p1", "a", "unsure"), ("p2", "a", "marvel"),
-         ("p0", "b", "marvel"), ("p1", "b", "harrypotter"), ("p3", "b", "marvel"),
-         ("p0", "c", "marvel")], "id string, annotator string, answer string")
+        [(f"t{i}", who, answer) for who, given in
+         {"kim": "xyxu", "lou": "xyy.", "max": "...x"}.items()
+         for i, answer in enumerate(given) if answer != "."],
+        "id string, annotator string, answer string")
     rows = annotate.agreement(answers, block).collect()
-    assert [(r.a, r.b, r.n, r.raw_agreement) for r in rows] == [("a", "b", 2, .5)]
+    assert [(r.a, r.b, r.n) for r in rows] == [("kim", "lou", 3)]
+    assert rows[0].raw_agreement == pytest.approx(2 / 3)
     with pytest.raises(ValueError):
         annotate.agreement(answers.unionByName(answers))
 
 
 def test_sample_is_balanced_and_reproducible(spark):
     corpus = spark.createDataFrame(
-        [(f"p{i}", ("marvel", "harrypotter")[i % 2], "t") for i in range(100)],
+        [(f"n{i}", "abc"[min(i % 5, 2)], "") for i in range(150)],
         "id string, subreddit string, text string")
-    sample = annotate.balanced_sample(corpus, 20, 3)
+    sample = annotate.balanced_sample(corpus, 24, 3)
     assert sample.columns == ["id", "position"]
     counts = sample.join(corpus, "id").groupBy("subreddit").count().collect()
-    assert sorted(r["count"] for r in counts) == [10, 10]
-    again = annotate.balanced_sample(corpus.repartition(7), 20, 3)
+    assert [r["count"] for r in counts] == [8, 8, 8]
+    again = annotate.balanced_sample(corpus.repartition(7), 24, 3)
     assert sample.exceptAll(again).isEmpty()
-    assert sorted(r.position for r in sample.collect()) == list(range(1, 21))
+    assert sorted(r.position for r in sample.collect()) == list(range(1, 25))
     with pytest.raises(ValueError):
         annotate.balanced_sample(corpus, 200)
 

@@ -2,14 +2,18 @@
 from pyspark.sql import functions as F
 
 from tidewatch.operators.labels import LABEL_AFTER_HOURS, outcome_counts, recheck
+from tidewatch.plans.ranking import keep_first
 from tidewatch.schemas import LABEL
 from tidewatch.session import settle
 from tidewatch.sources.snapshots import read_or_empty, to_schema
 
 
 def scan_labels(spark, path):
-    """All labels; empty, with its columns, while there are none."""
-    return read_or_empty(spark, path, LABEL)
+    """The first label of every post; empty, with its columns, while there are none.
+
+    An append that was interrupted and run again may have written some labels twice.
+    """
+    return keep_first(read_or_empty(spark, path, LABEL), ["id"], [F.col("checked_utc")])
 
 
 def append_labels(df, path):

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.listing import counts_per_community, unseen_posts
 from tidewatch.plans.ranking import keep_first
+from tidewatch.plans.skew import join_keys
 from tidewatch.schemas import RAW_POST
 from tidewatch.session import settle
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def to_schema(df, schema):
     """The columns of `schema` in order; missing ones become typed nulls."""
     return df.select(*[
@@ -56,19 +60,23 @@ def scan_once(spark, path):
                       [F.col("snapshot_utc"), F.col("created_utc")])
 
 
-def append_snapshots(df, path, rows_per_file=250, slices=1):
+def append_snapshots(df, path, rows_per_file=ROWS_PER_FILE):
     """Adds parts under each community's directory; earlier parts are never touched.
 
-    Rows are first brought together by community, each in `slices` tasks, so that a run leaves few
-    files per community. Raise both numbers with the volume of a run.
+    A community's rows are brought together in one task per `rows_per_file` rows it has, so that a
+    run leaves few files and a hot community is written by many tasks.
     """
-    slice_of = F.pmod(F.xxhash64("id"), F.lit(slices))
-    (to_schema(df, RAW_POST).repartition("subreddit", slice_of)
+    rows = to_schema(df, RAW_POST)
+    sizes = rows.groupBy("subreddit").agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_slices"))
+    sliced = join_keys(rows, sizes, ["subreddit"]).withColumn(
+        "_slice", F.pmod(F.xxhash64("id"), F.col("_slices")))
+    (sliced.repartition("subreddit", "_slice").drop("_slices", "_slice")
      .write.mode("append").partitionBy("subreddit")
      .option("maxRecordsPerFile", rows_per_file).parquet(str(path)))
 
 
-def incremental_ingest(incoming, path, communities=None, rows_per_file=250, slices=1):
+def incremental_ingest(incoming, path, communities=None, rows_per_file=ROWS_PER_FILE):
     """Stores the posts whose id is not stored yet; returns new rows per community.
 
     The stored ids are the memory of earlier runs, so a run can be repeated at any time. Only the id
@@ -79,7 +87,7 @@ def incremental_ingest(incoming, path, communities=None, rows_per_file=250, slic
         incoming = incoming.where(F.col("subreddit").isin(*communities))
     stored = read_or_empty(spark, path, RAW_POST)
     fresh = settle(unseen_posts(incoming, stored))
-    append_snapshots(fresh, path, rows_per_file, slices)
+    append_snapshots(fresh, path, rows_per_file)
     if communities is None:
         return fresh.groupBy("subreddit").agg(F.count(F.lit(1)).alias("n"))
     return counts_per_community(fresh, communities)

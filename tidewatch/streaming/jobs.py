@@ -2,13 +2,13 @@
 
 Each micro-batch compares with the table it writes to, so a batch that is run again after it was
 written adds nothing. Plain Parquet appends are not transactional: a batch that dies half way may
-leave some ids twice after its retry, which `scan_once` removes on reading.
+leave some ids twice after its retry, which `scan_once` and `scan_labels` remove on reading.
 """
 from tidewatch.operators.labels import LABEL_AFTER_HOURS
 from tidewatch.operators.listing import flatten_snapshot, normalise_submissions
 from tidewatch.schemas import RAW_POST, SUBMISSION
 from tidewatch.sources.labels import record_labels
-from tidewatch.sources.snapshots import incremental_ingest, scan_once
+from tidewatch.sources.snapshots import ROWS_PER_FILE, incremental_ingest, scan_snapshots
 
 
 def _drain(stream, checkpoint, each_batch):
@@ -18,25 +18,25 @@ def _drain(stream, checkpoint, each_batch):
 
 
 def ingest_stream(spark, landing, store, checkpoint, communities=None, files_per_batch=1000,
-                  rows_per_file=250, slices=1):
+                  rows_per_file=ROWS_PER_FILE):
     """Stores every post that lands in `landing` (Parquet, RAW_POST) once ever."""
     stream = spark.readStream.schema(RAW_POST).option(
         "maxFilesPerTrigger", files_per_batch).parquet(str(landing))
 
     def each_batch(batch, _):
-        incremental_ingest(batch, store, communities, rows_per_file, slices)
+        incremental_ingest(batch, store, communities, rows_per_file)
     return _drain(stream, checkpoint, each_batch)
 
 
 def submission_stream(spark, landing, store, checkpoint, clock, communities=None,
-                      comments_per_post=0, files_per_batch=1000):
+                      comments_per_post=0, files_per_batch=1000, rows_per_file=ROWS_PER_FILE):
     """As `ingest_stream`, from source records in JSON lines stamped with `clock()`."""
     stream = spark.readStream.schema(SUBMISSION).option(
         "maxFilesPerTrigger", files_per_batch).json(str(landing))
 
     def each_batch(batch, _):
         posts = flatten_snapshot(normalise_submissions(batch, clock(), comments_per_post))
-        incremental_ingest(posts, store, communities)
+        incremental_ingest(posts, store, communities, rows_per_file)
     return _drain(stream, checkpoint, each_batch)
 
 
@@ -50,5 +50,6 @@ def label_stream(spark, status_landing, store, labels, checkpoint, clock,
         "maxFilesPerTrigger", 1).parquet(str(status_landing))
 
     def each_batch(batch, _):
-        record_labels(scan_once(spark, store), batch, labels, clock(), after_hours)
+        # `recheck` takes four columns and the first row of an id: bodies are never read.
+        record_labels(scan_snapshots(spark, store), batch, labels, clock(), after_hours)
     return _drain(stream, checkpoint, each_batch)
