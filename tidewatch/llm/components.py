@@ -11,22 +11,22 @@ def components(edges, most_rounds=60):
 
     Large-star and small-star steps on tables in the shared folder: the edges never grow, a hub is
     reduced to its smallest neighbour map-side, and after a number of rounds that grows with the
-    logarithm of the component's size every node points at its label. Rows with nulls and loops are
-    ignored; repeated edges count once.
+    logarithm of the component's size every node points at its label. The smallest neighbours are a
+    table of their own, so that joins to them read plain shuffles, which Spark can split at a hub.
+    Rows with nulls and loops are ignored; repeated edges count once.
     """
     a, b = F.col("a"), F.col("b")
     edges = edges.where((a != b) & a.isNotNull() & b.isNotNull()).select(
         F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     mark = None
     for _ in range(most_rounds):
-        both = edges.union(edges.select(b.alias("a"), a.alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("low")).select(
-            "a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(lowest, "a").select(b.alias("a"), F.col("low").alias("b")).distinct()
+        # Edges point down, so a node without edges of its own is its neighbours' smallest.
+        lowest = written(edges.groupBy("a").agg(F.min("b").alias("low")), "lowest")
+        large = edges.join(lowest.select(a.alias("b"), "low"), "b", "left").select(
+            "a", F.coalesce("low", "b").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
-        joined = large.join(lowest, "a")
-        small = joined.where("b > low").select(b.alias("a"), F.col("low").alias("b")).union(
-            joined.select("a", F.col("low").alias("b"))).distinct()
+        small = large.join(lowest, "a").where("b > low").select(
+            b.alias("a"), F.col("low").alias("b")).union(lowest.toDF("a", "b")).distinct()
         edges = written(small, "components")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -76,7 +76,8 @@ def link_within(rows, make_linker, payload, block_weight):
     dealt = rows.select(*columns).join(sizes, "group").withColumn("block", block)
 
     def inside(pdf):
-        pdf = pdf.drop_duplicates("id", ignore_index=True)
+        # In order of the ids each star is around its smallest, so that no hub has smaller neighbours.
+        pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
         roots, members = forest(len(pdf), make_linker(pdf))
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({"a": ids[roots], "b": ids[members]}, columns=["a", "b"])
