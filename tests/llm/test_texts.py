@@ -314,6 +314,33 @@ def test_toxicity(spark, labelled):
     assert {r.score for r in nothing.collect()} == {0.0}
 
 
+def test_rare_insults_are_learned_beside_common_ones(spark):
+    rng = random.Random(4)
+    times = {"idiot": 150, "pathetic": 70, "worthless": 35, "scum": 18, "clown": 15, "trash": 15}
+    meant = [w for w, n in times.items() for _ in range(n)] + [None] * 1200
+    rng.shuffle(meant)
+    docs = [(i, " ".join([*prose(rng, 15).split(), *([w] if w else []), *prose(rng, 15).split()]), "en", "a", 1)
+            for i, w in enumerate(meant)]
+    labels = [(i, None, int(w is not None)) for i, w in enumerate(meant)]
+    new = [(5000 + i, f"{prose(rng, 9)} {w} {prose(rng, 9)}", "en", "a", 1) for i, w in enumerate(times)]
+    model = toxicity.fit(frame(spark, docs, DOCS), frame(spark, labels, LABELS))
+    rows = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, docs + new, DOCS), model).collect()}
+    assert [w for i, w in enumerate(times) if not rows[5000 + i]] == []
+    assert sum(rows[i] == (w is not None) for i, w in enumerate(meant)) >= 0.98 * len(meant)
+
+
+def test_copies_and_languages_are_counted_apart(spark):
+    rng = random.Random(9)
+    copied = prose(rng, 12) + " oddword here.\n" + prose(rng, 12)
+    rows = [(i, copied, "en", int(i < 40)) for i in range(40)]
+    rows += [(100 + i, prose(rng, 10) + " und", lang, int(i % 10 < share))
+             for lang, share in (("de", 8), ("fr", 1)) for i in range(len(rows), len(rows) + 60)]
+    sample = frame(spark, rows, "doc_id long, text string, lang string, toxic int")
+    counts = {(r.segment, r.lang): (r.n, r.bad) for r in toxicity.segment_counts(sample).collect()}
+    assert counts["oddword", "en"] == (1, 1)
+    assert counts["und", "de"][0] == counts["und", "fr"][0] == 60 and counts["und", "de"][1] > counts["und", "fr"][1]
+
+
 def test_quality(spark, labelled):
     docs, labels = frame(spark, labelled[0], DOCS), frame(spark, labelled[1][:250], LABELS)
     rows = {r.doc_id: r for r in quality.score(docs, quality.fit(docs, labels)).collect()}

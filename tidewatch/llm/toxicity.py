@@ -7,22 +7,29 @@ insult with dots, dashes, digits or stray letters between its own stays close to
 
 Training reads labelled documents, cut into sentences that inherit the label. A sentence speaks
 through its segments (the strings between white space, and runs of single characters read as one);
-the witnesses of toxic sentences are the segments found there far more often than the share of toxic
-sentences allows, with made-up gapped and stretched variants. Nyström features over landmark segments
-and a linear machine with squared hinge loss separate them from the segments of clean sentences; the
-clean segments that come closest are added for a second fit. As features are linear in the
-subsequences, the machine folds into one weight per subsequence, and a text of any length is scored
-in one pass over its characters. A document has the score of its worst segment, calibrated.
+the witnesses of toxic sentences are the segments that are toxic more often than chance allows: the
+chance of such a count, bounded by Chernoff, is below `CHANCE` divided by the number of segments
+tested, in one language at least. Documents count, not sentences, and copies of a document count
+once. All witnesses are used, however rare beside the commonest. Nyström features over landmark
+segments and a linear machine with squared hinge loss separate them, with made-up gapped and stretched
+variants, from the segments of clean sentences. The segments of labelled toxic sentences that this
+machine accepts, in whatever form they stand there, and the clean segments that come closest are added
+for a second fit. As features are linear in the subsequences, the machine folds into one weight per
+subsequence, and a text of any length is scored in one pass over its characters. A document has the
+score of its worst segment, calibrated.
 
 Only documents with crc32(id as text) % 3 other than 1 are learned from: at most `MAX_DOCUMENTS`,
-the first by hash of the id, and at most `MAX_SEGMENTS` counted segments of each kind reach the
-driver. Scoring covers every text.
+the first by hash of the id. At most `MAX_SEGMENTS` clean segments of each choice reach the driver, and
+all witnesses and accepted segments, whose number is bounded by the documents learned from. Scoring
+covers every text.
 
 Defined cases: null and empty text have no segment and get the score of a text without insults;
 repeated rows get the same score; a null id is scored and counts as not held out; conflicting labels
 of a document count as toxic; null labels are not used; without witnesses every score is the share of
-toxic documents among those learned from, 0 without any; other columns are not looked at.
+toxic documents among those learned from, 0 without any; a null lang, or none, is a language of its
+own; other columns are not looked at.
 """
+import math
 import re
 
 import numpy as np
@@ -35,10 +42,10 @@ from tidewatch.llm.shared import text_of, written
 
 MAX_DOCUMENTS = 20_000
 MAX_SEGMENTS = 2_000
-MAX_WITNESSES = 60
-LEAST_SCORE = 5.0            # standard deviations, for a witness
+CHANCE = 0.01                # of any witness by accident, over all segments together
+PURE = 0.8                   # share of a witness's documents that are toxic
 SPAN, DECAY = 6, 0.6
-LANDMARKS = 120
+LANDMARKS = 480
 COST = 4.0
 CLEAN_WEIGHT = 2.0           # what mistaking all clean segments costs against all witnesses
 THRESHOLD = 0.7
@@ -147,14 +154,15 @@ def variants(word):
     return out
 
 
-def train(positive, negative):
-    """A `Machine` that separates the two lists of segments."""
+def train(positive, negative, witnesses=0):
+    """A `Machine` that separates the two lists of segments; the first `witnesses` are landmarks."""
     segments = positive + negative
     y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
     weight = np.where(y > 0, 0.5, CLEAN_WEIGHT * len(positive) / max(1, len(negative)))
     step = lambda n, most: np.unique(np.linspace(0, n - 1, min(n, most)).astype(int))       # noqa: E731
-    marks = np.concatenate((step(len(positive), LANDMARKS // 2),
-                            len(positive) + step(len(negative), LANDMARKS // 2)))
+    half = max(LANDMARKS // 2, witnesses)
+    marks = np.concatenate((np.union1d(np.arange(witnesses), step(len(positive), LANDMARKS // 2)),
+                            len(positive) + step(len(negative), half)))
     landmarks = feature_rows([segments[i] for i in marks])
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
     solid = values > 1e-6 * values.max()
@@ -179,31 +187,62 @@ def held_out(column="doc_id"):
 
 
 def labelled_texts(docs, labels, most=MAX_DOCUMENTS):
-    """doc_id, text, toxic of the bounded sample that is learned from."""
+    """doc_id, lang, text, toxic of the bounded sample that is learned from."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", lang.alias("lang"), text_of().alias("text")).join(F.broadcast(known), "doc_id")
 
 
 def sentence_segments(sample):
-    """(segment, sentence, toxic) per distinct segment of every sentence, lower-cased and at most 40
-    long; the sentence is told by a hash, so that copies of a sentence can count once."""
+    """(doc_id, lang, toxic, sentence, segment) per distinct segment of every sentence, lower-cased and
+    at most 40 long; the sentence is told by a hash, so that copies of a document can be found."""
+    names = ["doc_id", "lang", "toxic", "sentence", "segment"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
     def cut(batches):
         for batch in batches:
             rows = []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            for doc, lang, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "toxic"))):
                 for sentence in _SENTENCE.split(text):
                     parts = {w.strip(".,;:!?\"'()").lower() for w in re.split(r"[ \t-\r]+", sentence)}
                     parts.update(w.lower() for w in spelled_out(sentence))
                     name = xxhash.xxh3_64_intdigest(sentence.encode("utf-8", "surrogatepass")) - (1 << 63)
-                    rows += [(p[:40], name, toxic) for p in parts if len(p) > 2]
+                    rows += [(doc, lang, toxic, name, p[:40]) for p in parts if len(p) > 2]
                 if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["segment", "sentence", "toxic"])
+                    yield batch_of(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["segment", "sentence", "toxic"])
-    return sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(
-        cut, "segment string, sentence long, toxic long")
+                yield batch_of(rows)
+    return sample.select("doc_id", "lang", "text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(
+        cut, "doc_id long, lang string, toxic long, sentence long, segment string")
+
+
+def originals(found):
+    """doc_id and the document it counts as: the one that most of its sentences stand in first, by id."""
+    pairs = found.select("doc_id", "sentence").distinct()
+    owners = pairs.groupBy("sentence").agg(F.min("doc_id").alias("owner"))
+    shared = pairs.join(owners, "sentence").groupBy("doc_id", "owner").agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy("doc_id").agg(
+        F.min_by("owner", F.struct(-F.col("n"), "owner")).alias("original"))
+
+
+def segment_counts(sample):
+    """segment, lang, n and bad: the documents with the segment and the toxic ones, copies once."""
+    found = written(sentence_segments(sample), "segments")
+    originally = found.join(originals(found), "doc_id")
+    each = originally.groupBy("segment", "lang", "original").agg(F.max("toxic").alias("toxic"))
+    return each.groupBy("segment", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+
+
+def chance_of(n, bad, base):
+    """Chernoff's bound on the logarithm of the chance of `bad` or more toxic ones of `n`, columns all."""
+    def part(count, expected):
+        return F.when(count > 0, count * F.log(count / expected)).otherwise(0.0)
+    return F.when(bad > n * base, -part(bad, n * base) - part(n - bad, n * (1 - base))).otherwise(0.0)
 
 
 def fit(docs, labels, most=MAX_DOCUMENTS):
@@ -211,27 +250,27 @@ def fit(docs, labels, most=MAX_DOCUMENTS):
     sample = written(labelled_texts(docs, labels, most), "toxic-sample")
     n, toxic = sample.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long"))).first()
     share = (toxic or 0) / n if n else 0.0
-    counts = written(sentence_segments(sample).groupBy("segment", "sentence").agg(
-        F.max("toxic").alias("toxic")).groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")), "segments")
-    total, bad = counts.agg(F.sum("n"), F.sum("bad")).first()
+    counts = written(segment_counts(sample), "segment-counts")
+    tests, total, bad = counts.agg(F.count(F.lit(1)), F.sum("n"), F.sum("bad")).first()
     if not bad or bad == total:
         return None, None, share
-    base = bad / total
-    deviation = (F.col("bad") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    scored = counts.withColumn("z", deviation)
-    top = scored.where((F.col("z") >= LEAST_SCORE) & (F.col("bad") >= 0.8 * F.col("n"))).orderBy(
-        F.desc("z"), "segment").limit(MAX_WITNESSES).toPandas()
-    top = top[top["z"] >= max(LEAST_SCORE, 0.4 * top["z"].max())] if len(top) else top
-    if not len(top):
+    bases = counts.groupBy("lang").agg((F.sum("bad") / F.sum("n")).alias("base")).withColumnRenamed("lang", "_lang")
+    scored = counts.join(F.broadcast(bases), F.col("lang").eqNullSafe(F.col("_lang"))).withColumn(
+        "chance", chance_of(F.col("n"), F.col("bad"), F.col("base")))
+    witness = (F.col("chance") <= math.log(CHANCE / tests)) & (F.col("bad") >= PURE * F.col("n"))
+    spread = F.col("n") * F.col("base") * (1 - F.col("base"))
+    scored = written(scored.groupBy("segment").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max(witness).alias("witness"),
+        ((F.sum("bad") - F.sum(F.col("n") * F.col("base"))) / F.sqrt(F.sum(spread) + 1e-9)).alias("z")), "segments-scored")
+    witnesses = sorted(r["segment"] for r in scored.where("witness").select("segment").collect())
+    if not len(witnesses):
         return None, None, share
-    witnesses = top["segment"].tolist()
     clean = scored.where("bad < n").where("z < 2")
     common = clean.orderBy(F.desc("n"), "segment").limit(MAX_SEGMENTS // 2)
     others = clean.orderBy(F.xxhash64("segment"), "segment").limit(MAX_SEGMENTS)
     negative = sorted({r["segment"] for r in common.union(others).select("segment").collect()} - set(witnesses))
     positive = witnesses + [v for w in witnesses for v in variants(w)]
-    machine = train(positive, negative)
+    machine = train(positive, negative, len(witnesses))
 
     def decide(batches):
         for batch in batches:
@@ -239,9 +278,14 @@ def fit(docs, labels, most=MAX_DOCUMENTS):
             decisions = machine.segments(np.frombuffer(joined, np.uint8))[1]
             yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(decisions, pa.float64())],
                                              ["segment", "decision"])
-    near = clean.select("segment").mapInArrow(decide, "segment string, decision double").orderBy(
-        F.desc("decision"), "segment").limit(MAX_SEGMENTS // 2).toPandas()
-    machine = train(positive, sorted(set(negative) | set(near["segment"][near["decision"] > -0.9])))
+
+    def decided(segments):
+        return segments.select("segment").mapInArrow(decide, "segment string, decision double")
+    near = decided(clean).orderBy(F.desc("decision"), "segment").limit(MAX_SEGMENTS // 2).toPandas()
+    toxic_ones = scored.where(F.col("bad") >= PURE * F.col("n")).where("not witness")
+    meant = sorted(r["segment"] for r in decided(toxic_ones).where("decision > 0").collect())
+    machine = train(witnesses + meant + positive[len(witnesses):],
+                    sorted(set(negative) | set(near["segment"][near["decision"] > -0.9])), len(witnesses))
 
     def measure(batches):
         for batch in batches:
