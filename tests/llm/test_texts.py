@@ -352,6 +352,29 @@ def test_quality(spark, labelled):
     assert all(r.kept for r in quality.score(docs, quality.fit(docs, frame(spark, [], LABELS))).collect())
 
 
+def test_every_unlabelled_document_can_be_handed_over(spark):
+    rng = random.Random(8)
+    def text(bad):
+        return " ".join(w.upper() + "!!" if bad else w for w in prose(rng, 12).split())
+    docs = [(i, text(i % 2), "en", "a", 70) for i in range(200)]
+    docs += [(i, text(i % 2), "xx", f"new{i % 2}", 70) for i in range(200, 13_000)]
+    labels = [(i, 1 - i % 2, None) for i in range(200)]
+    seen = []
+
+    def spy(views, y, over_pool, scales, fold, **options):
+        seen.append(over_pool(lambda rows: np.array([float(len(rows[0]))]))[0])
+        return co_train(views, y, over_pool, scales, fold, **options)
+    co_train = quality.co_train
+    quality.co_train = spy
+    try:
+        (_, stated), _ = quality.fit(frame(spark, docs, DOCS), frame(spark, labels, LABELS))
+    finally:
+        quality.co_train = co_train
+    assert seen == [12_800]
+    good, bad = stated.raw(np.array([quality.metadata_features("xx", f"new{i}", 70) for i in range(2)]))
+    assert good > 3 and bad < -3
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, labelled, tmp_path):
