@@ -278,6 +278,22 @@ def test_contamination_against_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, docs), frame(spark, [], schema)).count() == 0
 
 
+def test_short_items_are_never_missed(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))             # noqa: E731
+    items = [(i, pick(5 if i % 3 else 3 + i % 8)) for i in range(1500)]
+    docs = [(i, f"{pick(60)} {t} {pick(60)}") for i, t in items] + [(5000 + i, f"{t} {pick(100)}") for i, t in items]
+    got = decontaminate.contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    assert {(i, i) for i, _ in items} | {(5000 + i, i) for i, _ in items} <= {(r.doc_id, r.item_id) for r in got}
+
+
+def test_needed_shingles_meet_every_contained_set():
+    for n in range(1, decontaminate.LEAST_SIZE + 1):
+        least = next(k for k in range(1, n + 1) if k >= decontaminate.CONTAINED * n)
+        assert len(decontaminate.needed(np.arange(n), decontaminate.CONTAINED)) + least == n + 1
+
+
 # ---------------------------------------------------------------- classifiers
 
 @pytest.fixture(scope="module")

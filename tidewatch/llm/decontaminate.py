@@ -1,6 +1,8 @@
 """Benchmark items inside documents, by size-partitioned MinHash search and exact containment.
 
-Words are lower-cased runs of letters and digits, shingles are five of them. Items are partitioned by
+Words are lower-cased runs of letters and digits, shingles are five of them. Items of up to `LEAST_SIZE`
+shingles are searched by the shingles themselves: of an item of n, as many as a document with the
+share asked for cannot lack all of, so none is missed. Larger items are partitioned by
 their number of shingles, each partition reaching to a power of two. A document is cut into windows
 for each partition: twice as long as the partition's largest item, starting every such length, so an
 item that stands in the document lies wholly inside a window at most about four times its size. That
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.shared import SHINGLE_WORDS, alnum_words, mix, shingle_hashes, text_of, written
 
 FUNCTIONS = 64
-LEAST_SIZE = 8               # the smallest partition: items of up to so many shingles
+LEAST_SIZE = 8               # items of up to so many shingles are searched exactly
 CONTAINED = 0.75
 TABLE_BITS = 24              # a filter of 2 MB, whatever the number of items
 PROBES = (40, 20, 0)         # each takes so many bits of a key, from there on
@@ -55,13 +57,24 @@ def joined_blocks(minima):
     return np.concatenate((np.minimum(minima[:, 0:2 * pairs:2], minima[:, 1:2 * pairs:2]), minima[:, 2 * pairs:]), axis=1)
 
 
+def shingle_keys(shingles, width):
+    """One 64-bit key per shingle, for items of up to `LEAST_SIZE` of them."""
+    return mix(shingles ^ mix(np.array([(1 << 32) + width], np.uint64)))
+
+
+def needed(shingles, contained):
+    """So many of an item's shingles that a document with that share of them has one of these."""
+    lacking = int(np.floor(len(shingles) * (1 - contained) + 1e-9))
+    return shingles[:max(1, lacking + 1)]
+
+
 def minima_keys(minima, width, partition):
     """One 64-bit key per minimum: function, partition and shingle width are part of it."""
     mark = mix(np.arange(FUNCTIONS, dtype=np.uint64) * np.uint64(131) + np.uint64(partition * 7 + width))
     return mix(minima ^ (mark[:, None] if minima.ndim == 2 else mark))
 
 
-def item_rows(benchmark):
+def item_rows(benchmark, contained=CONTAINED):
     """Items with words: item_id, row key, width, partition, shingles (distinct) and keys."""
     def rows(batches):
         for batch in batches:
@@ -73,7 +86,10 @@ def item_rows(benchmark):
                 width = min(SHINGLE_WORDS, len(words))
                 shingles = np.unique(shingle_hashes(words))
                 partition = partition_size(len(shingles))
-                keys = minima_keys(block_minima(shingles, len(shingles))[:, 0], width, partition)
+                if partition == LEAST_SIZE:
+                    keys = shingle_keys(needed(shingles, contained), width)
+                else:
+                    keys = minima_keys(block_minima(shingles, len(shingles))[:, 0], width, partition)
                 out.append((name, width, partition, shingles.view(np.int64), keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (
@@ -114,11 +130,14 @@ def candidates(docs, table, kinds):
                     shingles = shingle_hashes(words, width)
                     minima, size = None, LEAST_SIZE
                     while size <= largest[width]:
-                        minima = block_minima(shingles, size) if minima is None else joined_blocks(minima)
+                        if largest[width] > LEAST_SIZE:
+                            minima = block_minima(shingles, size) if minima is None else joined_blocks(minima)
                         if (width, size) in kinds:
-                            window = np.minimum(minima, np.concatenate((minima[:, 1:], minima[:, -1:]), axis=1))
-                            keys = minima_keys(window, width, size)
-                            hit = keys.ravel()
+                            if size == LEAST_SIZE:
+                                hit = shingle_keys(shingles, width)
+                            else:
+                                window = np.minimum(minima, np.concatenate((minima[:, 1:], minima[:, -1:]), axis=1))
+                                hit = minima_keys(window, width, size).ravel()
                             for probe in PROBES:
                                 hit = hit[bits[(hit >> np.uint64(probe)) & mask] == 1]
                             if len(hit):
@@ -141,7 +160,7 @@ def contaminated(docs, benchmark, contained=CONTAINED):
     """doc_id, item_id, n_shared, n_item and containment of every pair in which the document has at
     least that share of the item's shingles, for the pairs with an item of its size in one place."""
     spark = docs.sparkSession
-    items = written(item_rows(benchmark), "items")
+    items = written(item_rows(benchmark, contained), "items")
     kinds = {(r["width"], r["partition"]) for r in items.select("width", "partition").distinct().collect()}
     if not kinds:
         return spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long, containment double")
