@@ -130,6 +130,14 @@ def test_url_verdicts(spark):
     assert by["http://thorough.example.com/en/walk"] == by[None] == "allow"
 
 
+def test_host_and_path_are_of_the_same_url(spark):
+    given = ["http://a?b://c/d", "http://a#b://c/d", "https://example.com?next=https://other.net/de/x", "http://a/b?c://d/e"]
+    rows = frame(spark, [(u,) for u in given], "url string")
+    got = {r.url: (r.host, r.path) for r in urls.with_grams(rows).collect()}
+    assert got == {u: brute_rule(u)[:2] for u in given}
+    assert got[given[2]] == ("example.com", "")
+
+
 @pytest.mark.parametrize("held", range(4))
 def test_url_model_on_held_out_urls(spark, held):
     labelled = urls.seed_urls(spark).collect()

@@ -94,7 +94,7 @@ def host_of(url):
 
 
 def path_of(url):
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*((?:/[^?#]*)?)", 1)
 
 
 def fits(rule, host, path):
