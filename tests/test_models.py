@@ -115,6 +115,19 @@ def test_scores_curve_and_ablation(corpus):
         models.fit(corpus, learner="forest")
 
 
+def test_curve_and_comparison_fit_every_training_row(corpus, monkeypatch):
+    fitted = []
+
+    def spy(rows, n_docs, *rest):
+        fitted.append(n_docs)
+        return fit_logistic(rows, n_docs, *rest)
+    monkeypatch.setattr(models, "fit_logistic", spy)
+    monkeypatch.setitem(models.fit_models.__kwdefaults__, "max_fit_rows", 20)
+    models.learning_curve(corpus, (.5, 1.0), 2, max_iter=3)
+    models.compare_learners(corpus, 2, learners=("logistic",), max_iter=3)
+    assert fitted == [[30, 60, 30, 60], [60, 60]]
+
+
 def test_evaluation_document(spark, corpus, tmp_path):
     from tidewatch.operators.evaluate import evaluation
     from tidewatch.sources.outputs import write_document

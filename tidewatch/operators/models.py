@@ -172,12 +172,12 @@ def fit_models(docs, terms, sets, *, learner="logistic", label="subreddit", min_
     """Fits one model per training set, all of them together.
 
     `sets` are conditions on the columns that `docs` and `terms` share; `terms` comes from
-    `training_terms`. A logistic model takes about `max_fit_rows` rows of a larger set.
+    `training_terms`. A logistic model takes about `max_fit_rows` rows of a larger set, all with None.
     """
     if learner not in LEARNERS:
         raise ValueError(f"learner must be one of {LEARNERS}, got {learner!r}")
     classes, counts = _class_sizes(docs, label, sets)
-    if learner == "logistic" and counts.sum(axis=1).max(initial=0) > max_fit_rows:
+    if learner == "logistic" and max_fit_rows is not None and counts.sum(axis=1).max(initial=0) > max_fit_rows:
         sets = [_within(s, n, max_fit_rows) for s, n in zip(sets, counts.sum(axis=1))]
         classes, counts = _class_sizes(docs, label, sets)
     n_docs = [int(n) for n in counts.sum(axis=1)]
@@ -328,7 +328,8 @@ def ablation(df, pattern, k=5, seeds=range(5), text="text", cv=None, **options):
 
 
 def compare_learners(df, k=5, seed=42, learners=LEARNERS, **options):
-    """Test and train scores of each learner under the same folds."""
+    """Test and train scores of each learner under the same folds, each fitted on all training rows."""
+    options["max_fit_rows"] = None                           # else the train side holds unseen rows
     table = None
     for learner in learners:
         scored = cross_validated(df, k, seed, with_train=True, learner=learner, **options)
@@ -360,7 +361,8 @@ LEARNING_SIZES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
 
 def learning_curve(df, fractions=LEARNING_SIZES, k=5, seed=42, label="subreddit", text="text",
                    bigrams=True, min_df=1, **options):
-    """Held-out accuracy when training on growing shuffled prefixes of each training fold."""
+    """Held-out accuracy when training on growing shuffled prefixes of each training fold, whole ones."""
+    options["max_fit_rows"] = None                           # else `train_size` is not what was fitted
     docs = stratified_folds(df.select("id", F.col(label).alias("label")), k, seed, "label")
     # One shuffle of all rows; the prefix of a training fold is its first rows in that order.
     order = docs.withColumn("_h", numeric.seeded_hash(F.col("id"), f"curve{seed}"))
