@@ -1,6 +1,6 @@
 """Registered queries of these operators: name -> (Spark callable, SQL twin or None)."""
-from tidewatch.llm import (decontaminate, exact, packing, quality, secrets, setsketch, tokens,
-                           toxicity, urls, warc)
+from tidewatch.llm import (alignment, decontaminate, exact, fingerprints, packing, quality, secrets,
+                           setsketch, tokens, toxicity, trie, urls, warc)
 
 
 def _table(spark, sf_dir, name):
@@ -50,6 +50,18 @@ def op10_url_filter(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"), urls.fit(urls.seed_urls(spark)))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return alignment.alignment_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark, sf_dir):
+    return fingerprints.compared(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return trie.family_trie(_table(spark, sf_dir, "conversations"))
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS digest FROM p),
@@ -109,6 +121,37 @@ SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, doc_id = keep_id AS kep
 FROM d JOIN g ON d.h = g.h
 """
 
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+             PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+s AS (SELECT ids.conv_id AS c, pos, r, x FROM ids JOIN t ON t.conv_id = ids.conv_id - ids.conv_id % 100 AND pos <= h
+      UNION ALL SELECT ids.conv_id, pos, r, x FROM ids JOIN t ON t.conv_id = ids.conv_id AND pos > h),
+p AS (SELECT conv_id AS c, 0 AS d, '' AS node, 0 AS n FROM ids UNION ALL
+      SELECT c, row_number() OVER w, sha256(string_agg(sha256(length(r) || ':' || r || x), '') OVER w), length(x)
+      FROM s WINDOW w AS (PARTITION BY c ORDER BY pos)),
+q AS (SELECT c, d, node, n, lag(node) OVER v AS up, lead(node) OVER v IS NULL AS is_end FROM p WINDOW v AS (PARTITION BY c ORDER BY d)),
+nodes AS (SELECT node, d, max(up) AS up, min(c) AS conv_id, count(*) AS n_convs, max(n) AS n FROM q GROUP BY node, d),
+kids AS (SELECT up, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up),
+own AS (SELECT nodes.conv_id, d, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * n AS saved
+        FROM nodes LEFT JOIN kids ON kids.up = node),
+below AS (SELECT node, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+          FROM own JOIN p ON p.c = own.conv_id AND p.d <= own.d GROUP BY node),
+ends AS (SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM q WHERE is_end GROUP BY node)
+SELECT nodes.conv_id, CAST(nodes.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id,
+       CAST(nodes.n_convs AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN below ON below.node = nodes.node LEFT JOIN kids ON kids.up = nodes.node
+LEFT JOIN nodes parent ON parent.node = nodes.up LEFT JOIN ends ON ends.node = nodes.node
+"""
+
 QUERIES = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_warc_packages": (op2_warc_packages, OP2_SQL),
@@ -120,4 +163,7 @@ QUERIES = {
     "op8_secrets": (op8_secrets, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_url_filter": (op10_url_filter, None),
+    "op11_token_alignment": (op11_token_alignment, None),
+    "op12_fingerprints": (op12_fingerprints, None),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }

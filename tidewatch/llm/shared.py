@@ -1,5 +1,7 @@
 """Helpers of these operators: written tables, word and shingle hashes, memoised tokenizers."""
 import os
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -22,6 +24,46 @@ def written(df, name, partitions=None):
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+HEAVY_KEYS = 10_000                              # at most so many keys are broadcast by join_counted
+
+
+def heavy_bound(groups, count, least=200):
+    """A number of rows that at most `HEAVY_KEYS` groups can have, by the sum of all counts."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    return max(least, -(-total // HEAVY_KEYS))
+
+
+def join_counted(rows, groups, keys, count, spread, least=200):
+    """`rows` left-joined to `groups` (unique in `keys`, never null), of which `count` says how many
+    rows share the key.
+
+    Groups with many rows are few, because the counts add up to all rows; they are broadcast, and
+    their rows go on dealt out by the columns `spread`. The others are joined by shuffle.
+    """
+    bound = heavy_bound(groups, count, least)
+    others = [c for c in groups.columns if c not in keys]
+    heavy = groups.where(F.col(count) >= bound).select(
+        *keys, *[F.col(c).alias(f"_heavy_{c}") for c in others], F.lit(True).alias("_heavy"))
+    light = groups.where(F.col(count) < bound).withColumn("_salt", F.lit(0))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.when(F.col("_heavy"), 1 + F.pmod(F.xxhash64(*spread), F.lit(n))).otherwise(F.lit(0)).cast("int")
+    joined = (rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt)
+              .join(light, [*keys, "_salt"], "left"))
+    return joined.withColumns({c: F.coalesce(f"_heavy_{c}", c) for c in others}).drop(
+        "_salt", "_heavy", *[f"_heavy_{c}" for c in others])
+
+
+def kept_by_worker(key, make):
+    """`make()` once for `key` in this worker process; tasks that come later get the same object.
+
+    These modules travel to the workers by value, so their own variables are new in every task.
+    """
+    holder = sys.modules.setdefault("tidewatch_worker", types.ModuleType("tidewatch_worker")).__dict__
+    if key not in holder:
+        holder[key] = make()
+    return holder[key]
+
+
 def text_of(column="text"):
     return F.coalesce(F.col(column), F.lit(""))
 
