@@ -1,11 +1,8 @@
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tidewatch.operators import models
-from tidewatch.operators.logistic import _loss_and_gradient, fit_logistic
+from tidewatch.operators import features, linear, models, vectors
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
 
@@ -23,32 +20,74 @@ def corpus(spark):
     return spark.createDataFrame(rows, "id string, subreddit string, text string")
 
 
-def training_rows(spark, n_classes):
-    rng = np.random.default_rng(1)
-    rows = []
-    for i in range(80):
-        idx = sorted(rng.choice(6, size=3, replace=False).tolist())
-        x = rng.random(3)
-        rows.append((0, int((idx[0] + i % 2) % n_classes), idx, (x / np.linalg.norm(x)).tolist()))
-    return spark.createDataFrame(rows, "model int, y int, idx array<int>, x array<double>")
+def dense(docs, min_df):
+    """Weights of documents (label, text), term by term, with the terms in order."""
+    counted = {}
+    for _, text in docs:
+        for t in set(text.split()):
+            counted[t] = counted.get(t, 0) + 1
+    terms = sorted(t for t, n in counted.items() if n >= min_df)
+    x = np.zeros((len(docs), len(terms)))
+    for row, (_, text) in zip(x, docs):
+        words = text.split()
+        for i, t in enumerate(terms):
+            if t in words:
+                row[i] = (1 + np.log(words.count(t))) * (np.log((1 + len(docs)) / (1 + counted[t])) + 1)
+        row /= np.linalg.norm(row) or 1.0
+    return terms, x
 
 
 @pytest.mark.parametrize("n_classes", [2, 3])
-def test_logistic_fit_agrees_with_spark_ml(spark, n_classes):
-    rows = training_rows(spark, n_classes)
-    (coefficients,), (intercepts,) = fit_logistic(rows, [80], n_classes, 6, tol=1e-7)
-    point = np.hstack([coefficients, np.array(intercepts)[:, None]])
-    trial = point[1:] if n_classes == 2 else point
-    _, gradient = _loss_and_gradient(rows, {0: trial}, 6)[0]
-    gradient = gradient / 80
-    gradient[:, :-1] += trial[:, :-1] / 80
-    assert np.abs(gradient).max() < 1e-6
-    data = spark.createDataFrame(
-        [(float(r.y), Vectors.sparse(6, r.idx, r.x)) for r in rows.collect()], ["label", "features"])
-    theirs = LogisticRegression(regParam=1 / 80, standardization=False, maxIter=2000,
-                                tol=1e-12).fit(data)
-    expected = theirs.coefficientMatrix.toArray()
-    assert np.allclose(expected, trial[:, :-1], atol=1e-4)
+def test_logistic_fit_is_stationary(corpus, n_classes):
+    """Weights computed here, and the gradient of mean loss + |w|^2 / 2n at the fit's coefficients."""
+    some = corpus.where(F.col("subreddit").isin(list("abc")[:n_classes])).orderBy("id")
+    rows = [(r.subreddit, r.text) for r in some.collect()]
+    fitted = models.fit(some, bigrams=False, tol=1e-12, max_iter=2000)
+    terms, x = dense(rows, 2)
+    coef = {r.term: r.coef for r in fitted.table.collect()}
+    assert sorted(coef) == terms
+    w, bias = np.array([coef[t] for t in terms]).T, np.array(fitted.intercepts[0])
+    scores = x @ w.T + bias
+    p = np.exp(scores - scores.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    y = np.array([[label == c for c in fitted.classes] for label, _ in rows], float)
+    gradient = (p - y).T @ x / len(rows)
+    expected = w / len(rows) if n_classes > 2 else np.vstack([-w[1], w[1]]) / len(rows)
+    assert np.abs(gradient + expected).max() < 1e-5
+    scored = {r.id: r.probability for r in models.predict_proba(fitted, some, bigrams=False).collect()}
+    ids = [r.id for r in some.collect()]
+    assert np.allclose([scored[i] for i in ids], p, atol=1e-9)
+
+
+def test_the_report_of_a_fit(corpus):
+    sizes = models._class_sizes(corpus, "subreddit", [F.lit(True), F.col("id") != "d3"])
+    space = linear.space_of(corpus, [F.lit(True), F.col("id") != "d3"], sizes[0],
+                            [int(n) for n in sizes[1].sum(axis=1)], class_of="subreddit")
+    rows = linear.fit_report(space, tol=1e-12).orderBy("model").collect()
+    assert [r.n_rows for r in rows] == [120, 119]
+    assert all(r.gradient_norm < 1e-5 and r.iterations > 1 and r.n_terms > 8 for r in rows)
+
+
+@pytest.mark.parametrize("bigrams", [False, True])
+def test_counts_in_the_task_are_those_of_the_terms(spark, tmp_path, bigrams):
+    texts = ["", None, "one two one two one", "Über uns über uns", "a b c", "x1 y2\n\nz3 x1", "w " * 50 + "word " * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    terms = features.document_terms(docs, bigrams=bigrams)
+    known = terms.select("term").distinct().where("term <> 'uns'")
+    named = [r.term for r in known.collect()]
+    hashes = vectors.hashes_of(known.select("term", *vectors.term_parts(F.col("term"))).toArrow())
+    names = dict(zip(hashes.tolist(), named))
+    ordered = np.sort(hashes)
+    rows = vectors.count_vectors(docs, ordered, str(tmp_path / "v"), bigrams=bigrams).collect()
+    got = {(r.id, names[int(ordered[i])], round(float(np.exp(v - 1)))) for r in rows for i, v in zip(r.v.indices, r.v.values)}
+    assert got == {(r.id, r.term, r.tf) for r in terms.where("term <> 'uns'").collect()}
+    assert sorted(r.id for r in rows) == list(range(len(texts)))
+
+
+def test_scoring_neither_explodes_nor_shuffles(corpus):
+    fitted = models.fit(corpus)
+    plan = models.predict_proba(fitted, corpus)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "MapInArrow" in plan
 
 
 def test_folds_are_stratified_and_stable(corpus):
@@ -84,8 +123,8 @@ def test_saved_model_scores_alike_on_both_join_paths(spark, corpus, tmp_path):
     fitted.save(str(tmp_path / "m"))
     loaded = models.LinearModels.load(spark, str(tmp_path / "m"))
     first = {r.id: r.confidence for r in models.predict_proba(fitted, corpus).collect()}
-    terms = models.training_terms(corpus)
-    spread = models.score_terms(loaded, terms, broadcast_limit=0)
+    spread = models.predict_proba(loaded, corpus, broadcast_bytes=0)
+    assert "Exchange" in spread._jdf.queryExecution().executedPlan().toString()
     for r in spread.collect():
         assert r.confidence == pytest.approx(first[r.id], rel=1e-12)
     assert len(first) == 120
@@ -116,16 +155,26 @@ def test_scores_curve_and_ablation(corpus):
 
 
 def test_curve_and_comparison_fit_every_training_row(corpus, monkeypatch):
-    fitted = []
+    fitted, fit_one = [], linear.fit_one
 
-    def spy(rows, n_docs, *rest):
-        fitted.append(n_docs)
-        return fit_logistic(rows, n_docs, *rest)
-    monkeypatch.setattr(models, "fit_logistic", spy)
-    monkeypatch.setitem(models.fit_models.__kwdefaults__, "max_fit_rows", 20)
+    def spy(space, i, **options):
+        fitted.append(space.sizes[i])
+        return fit_one(space, i, **options)
+    monkeypatch.setattr(linear, "fit_one", spy)
+    monkeypatch.setattr(models, "MAX_FIT_ROWS", 20)
     models.learning_curve(corpus, (.5, 1.0), 2, max_iter=3)
     models.compare_learners(corpus, 2, learners=("logistic",), max_iter=3)
-    assert fitted == [[30, 60, 30, 60], [60, 60]]
+    assert sorted(fitted) == sorted([30, 60, 30, 60, 60, 60])
+
+
+def test_repeated_predictions_share_one_table_of_vectors(corpus, monkeypatch):
+    built, space_of = [], linear.space_of
+    monkeypatch.setattr(linear, "space_of", lambda *a, **k: built.append(1) or space_of(*a, **k))
+    runs = models.repeated_predictions(corpus, 3, (4, 9)).collect()
+    assert len(built) == 1 and sorted({r.seed for r in runs}) == [4, 9]
+    assert all(len({r.id for r in runs if r.seed == s}) == 120 for s in (4, 9))
+    alone = {r.id: r.confidence for r in models.oof_predictions(corpus, 3, 9).collect()}
+    assert all(alone[r.id] == pytest.approx(r.confidence, abs=1e-6) for r in runs if r.seed == 9)
 
 
 def test_evaluation_document(spark, corpus, tmp_path):

@@ -1,27 +1,27 @@
-"""Linear text classifiers: fitted for many training sets at once, kept as tables, scored by a join.
+"""Linear text classifiers: fitted for many training sets, kept as tables, scored inside the task.
 
 Every model is a table (model, term, idf, coef per class) plus intercepts. Vocabulary and document
-frequencies are taken from the training rows of each model only. All folds of a cross-validation are
-fitted together: one pass counts their vocabularies, and each pass over the training rows yields the
-gradients of all models. Scoring joins the terms of a document to the table and adds up; the sums of a document are complete
-before the shuffle because all its terms come from one input row.
+frequencies are taken from the training rows of each model only. Logistic models are fitted by Spark ML
+over one table of vectors (`linear`); naive Bayes adds up weights by term for all models together.
+Scoring looks the terms of a text up in a broadcast table of counted size (`vectors`), without a
+shuffle; a larger model is joined to the terms of the documents (`score_terms`).
 """
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.functions import numeric, text as tx
-from tidewatch.operators import metrics
-from tidewatch.operators.logistic import fit_logistic
+from tidewatch.operators import linear, metrics, vectors
 from tidewatch.operators.features import (
-    document_terms, join_vocabulary, numbered, smooth_idf, sublinear)
+    document_terms, join_vocabulary, smooth_idf, sublinear)
 from tidewatch.plans.ranking import rank_within
 from tidewatch.session import settle
 
 # Labelled rows a logistic model is fitted on, about: of a larger training set a hashed share is
-# taken, which bounds the vocabulary and so the coefficient vectors. Naive Bayes takes every row.
+# taken, which bounds the vocabulary and so the vectors on the driver. Naive Bayes takes every row.
 MAX_FIT_ROWS = 200_000
 LEARNERS = ("logistic", "naive_bayes")
 
@@ -71,57 +71,49 @@ def _members(sets):
         *[F.when(s, F.lit(i)) for i, s in enumerate(sets)]))).alias("model")
 
 
-def _vocabularies(terms, sets, n_docs, min_df, number):
-    """(model, term, idf) of all models, with `number` also idx and how many columns they share.
+def _vocabularies(terms, sets, n_docs, min_df):
+    """(model, term, idf) of all models.
 
     Document frequencies of all sets are counted in one pass over the terms.
     """
     counted = terms.where(F.col("term").isNotNull()).groupBy("term").agg(
         *[F.count_if(s).alias(f"df{i}") for i, s in enumerate(sets)])
-    largest = F.greatest(*[F.col(f"df{i}") for i in range(len(sets))]) if len(sets) > 1 \
-        else F.col("df0")
-    shared, n_features = settle(counted.where(largest >= min_df)), None
-    if number:
-        shared, n_features = numbered(shared)
     entries = F.array(*[
         F.struct(F.lit(i).alias("model"), F.col(f"df{i}").alias("df"),
                  smooth_idf(F.col(f"df{i}"), n).alias("idf")) for i, n in enumerate(n_docs)])
-    index = ["idx"] if number else []
-    vocab = shared.select("term", *index, F.explode(entries).alias("e")).where(
-        F.col("e.df") >= min_df)
-    return settle(vocab.select("e.model", "term", *index, "e.idf")), n_features
-
-
-def _training_rows(terms, sets, vocab, n_vocab, classes):
-    """One row per model and training document: class number and its L2-normalised weights."""
-    facts = terms.select("id", "label", "term", "tf", _members(sets))
-    joined = join_vocabulary(facts, vocab, ["model", "term"], n_vocab)
-    w = sublinear(F.col("tf")) * F.col("idf")
-    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", w.alias("w")))
-    rows = joined.groupBy("model", "id", "label").agg(
-        F.collect_list(entry).alias("_e"), F.sqrt(F.sum(w * w)).alias("_norm"))
-    y = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    norm = F.col("_norm")
-    return settle(rows.select(
-        "model", y.cast("int").alias("y"), F.transform("_e", lambda e: e["idx"]).alias("idx"),
-        F.transform("_e", lambda e: e["w"] / norm).alias("x")))
-
-
-def _coefficient_rows(spark, coefficients, slice_rows=1_000_000):
-    """(model, idx, coef) from one (classes x features) array per model."""
-    table = None
-    for model, values in enumerate(coefficients):
-        for start in range(0, values.shape[1], slice_rows):
-            part = values[:, start:start + slice_rows]
-            frame = pd.DataFrame({"model": np.int32(model), "idx": np.arange(
-                start, start + part.shape[1], dtype=np.int32)})
-            for c in range(part.shape[0]):
-                frame[f"c{c}"] = part[c]
-            rows = spark.createDataFrame(frame)
-            table = rows if table is None else table.unionByName(rows)
-    n_classes = coefficients[0].shape[0]
-    return table.select("model", "idx", F.array(*[f"c{c}" for c in range(n_classes)])
-                        .alias("coef"))
+    vocab = counted.select("term", F.explode(entries).alias("e")).where(F.col("e.df") >= min_df)
+    return settle(vocab.select("e.model", "term", "e.idf"))
+
+
+def _logistic_table(space, fits, slice_rows=1_000_000):
+    """(model, term, idf, coef) of fitted models; each goes to Spark in slices."""
+    spark, parts = space.rows.sparkSession, []
+    for model, (idf, values) in enumerate(fits):
+        known = np.flatnonzero(idf)
+        for start in range(0, len(known), slice_rows):
+            at = known[start:start + slice_rows]
+            frame = pd.DataFrame({"model": np.int32(model), "idx": at, "idf": idf[at],
+                                  **{f"c{c}": row[at] for c, row in enumerate(values)}})
+            parts.append(spark.createDataFrame(frame))
+    schema = "model int, idx long, idf double, " + ", ".join(f"c{c} double" for c in range(len(space.classes)))
+    table = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    words = space.terms.select("term", *vectors.term_parts(F.col("term"))).mapInArrow(
+        _places(space), "term string, idx long")
+    return words.join(table, "idx").select(
+        "model", "term", "idf", F.array(*[f"c{c}" for c in range(len(space.classes))]).alias("coef"))
+
+
+def _places(space):
+    """Adds to the terms their index in the vectors."""
+    held = space.rows.sparkSession.sparkContext.broadcast(space.hashes)
+
+    def run(batches):
+        for batch in batches:
+            at = np.searchsorted(held.value, vectors.hashes_of(pa.Table.from_batches([batch])))
+            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(at)], ["term", "idx"])
+    return run
 
 
 def _naive_bayes(terms, sets, vocab, vocab_sizes, counts, classes, alpha):
@@ -167,42 +159,50 @@ def _within(condition, n, most):
         most / n * 2 ** 40))
 
 
-def fit_models(docs, terms, sets, *, learner="logistic", label="subreddit", min_df=2, C=1.0,
-               alpha=1.0, max_iter=2000, tol=1e-4, max_fit_rows=MAX_FIT_ROWS):
+def _logistic_space(docs, sets, label, max_fit_rows, min_df=2, text="text", bigrams=True):
+    """The shared vectors of all training sets, the larger ones cut to about `max_fit_rows`."""
+    classes, counts = _class_sizes(docs, label, sets)
+    if max_fit_rows is not None and counts.sum(axis=1).max(initial=0) > max_fit_rows:
+        sets = [_within(s, n, max_fit_rows) for s, n in zip(sets, counts.sum(axis=1))]
+        classes, counts = _class_sizes(docs, label, sets)
+    return linear.space_of(docs, sets, classes, [int(n) for n in counts.sum(axis=1)], min_df=min_df,
+                           text=text, bigrams=bigrams, class_of=label)
+
+
+def fit_models(docs, terms, sets, *, learner="logistic", label="subreddit", text="text", bigrams=True,
+               min_df=2, alpha=1.0, max_fit_rows=MAX_FIT_ROWS, **solver):
     """Fits one model per training set, all of them together.
 
-    `sets` are conditions on the columns that `docs` and `terms` share; `terms` comes from
-    `training_terms`. A logistic model takes about `max_fit_rows` rows of a larger set, all with None.
+    `sets` are conditions on the columns of `docs`. Naive Bayes reads `terms`, from `training_terms`,
+    which has these columns too; a logistic model reads the text of `docs`, and takes about
+    `max_fit_rows` rows of a larger set, all with None; `solver` has C, max_iter and tol.
     """
     if learner not in LEARNERS:
         raise ValueError(f"learner must be one of {LEARNERS}, got {learner!r}")
+    if learner == "logistic":
+        space = _logistic_space(docs, sets, label, max_fit_rows, min_df, text, bigrams)
+        fits = linear.for_each_set(space, lambda i, fit: (fit.idf, *fit.coefficients()), **solver)
+        table = settle(_logistic_table(space, [(idf, values) for idf, values, _ in fits]))
+        return LinearModels(space.classes, [bias for _, _, bias in fits], table,
+                            sum(int((idf > 0).sum()) for idf, _, _ in fits))
     classes, counts = _class_sizes(docs, label, sets)
-    if learner == "logistic" and max_fit_rows is not None and counts.sum(axis=1).max(initial=0) > max_fit_rows:
-        sets = [_within(s, n, max_fit_rows) for s, n in zip(sets, counts.sum(axis=1))]
-        classes, counts = _class_sizes(docs, label, sets)
     n_docs = [int(n) for n in counts.sum(axis=1)]
     terms = terms.where(F.col("label").isNotNull())
-    vocab, n_features = _vocabularies(terms, sets, n_docs, min_df, learner == "logistic")
+    vocab = _vocabularies(terms, sets, n_docs, min_df)
     in_vocab = {r["model"]: r["n"] for r in vocab.groupBy("model").agg(
         F.count(F.lit(1)).alias("n")).collect()}             # one row per model
     vocab_sizes = [in_vocab.get(i, 0) for i in range(len(sets))]
-    n_rows = sum(vocab_sizes)
-    if learner == "logistic":
-        rows = _training_rows(terms, sets, vocab, n_rows, classes)
-        values, intercepts = fit_logistic(rows, n_docs, len(classes), n_features, C, max_iter, tol)
-        table = vocab.join(_coefficient_rows(docs.sparkSession, values), ["model", "idx"]).select(
-            "model", "term", "idf", "coef")
-    else:
-        table, intercepts = _naive_bayes(terms, sets, vocab, vocab_sizes, counts, classes, alpha)
+    table, intercepts = _naive_bayes(terms, sets, vocab, vocab_sizes, counts, classes, alpha)
     return LinearModels(classes, [[float(b) for b in row] for row in intercepts], settle(table),
-                        n_rows)
+                        sum(vocab_sizes))
 
 
-def fit(df, *, label="subreddit", text="text", bigrams=True, **options):
+def fit(df, *, label="subreddit", text="text", bigrams=True, learner="logistic", **options):
     """One model on all rows of (id, label, text)."""
     docs = df.select("id", F.col(label).alias("label"), text)
-    return fit_models(docs, training_terms(docs, "label", text, bigrams), [F.lit(True)],
-                      label="label", **options)
+    terms = training_terms(docs, "label", text, bigrams) if learner == "naive_bayes" else None
+    return fit_models(docs, terms, [F.lit(True)], label="label", text=text, bigrams=bigrams,
+                      learner=learner, **options)
 
 
 # --- scoring ------------------------------------------------------------------
@@ -239,16 +239,34 @@ def score_terms(models, terms, carried=(), own=None, broadcast_limit=2_000_000):
     total = F.aggregate("_exp", F.lit(0.0), lambda a, b: a + b)
     scored = scored.withColumn("probability", F.transform("_exp", lambda e: e / total)) \
         .drop("_exp")
+    return _judged(models, scored, [*keys, "model"])
+
+
+def _judged(models, scored, columns):
     names = F.array(*[F.lit(c) for c in models.classes])
-    return scored.select(*keys, "model", "probability",
+    return scored.select(*columns, "probability",
                          numeric.argmax_label(F.col("probability"), names).alias("predicted"),
                          F.array_max("probability").alias("confidence"))
 
 
-def predict_proba(models, df, text="text", bigrams=True, carried=()):
+def score_texts(models, df, text="text", bigrams=True, carried=(), own=None,
+                broadcast_bytes=vectors.BROADCAST_BYTES):
+    """As `score_terms`, from texts: inside the task while the models' table, whose bytes are counted,
+    is within `broadcast_bytes`; else by a join with their terms."""
+    columns = list(dict.fromkeys(["id", *carried, *([own] if own is not None else [])]))
+    n_models = len(models.intercepts)
+    n_terms = models.n_rows if n_models == 1 else models.table.agg(F.count_distinct("term")).first()[0]
+    if vectors.table_bytes(n_models, n_terms, len(models.classes)) > broadcast_bytes:
+        terms = document_terms(df.select(*columns, text), text, bigrams, outer=True)
+        return score_terms(models, terms, columns[1:], own)
+    table = vectors.ScoringTable.of(models.table, models.intercepts)
+    scored = vectors.class_probabilities(table, df.select(*columns, text), text, bigrams, own)
+    return _judged(models, scored, [*columns, "model"])
+
+
+def predict_proba(models, df, text="text", bigrams=True, carried=(), **options):
     """Scores texts with a single fitted model."""
-    terms = document_terms(df.select("id", *carried, text), text, bigrams, outer=True)
-    return score_terms(models, terms, carried).drop("model")
+    return score_texts(models, df, text, bigrams, carried, **options).drop("model")
 
 
 # --- cross-validation ---------------------------------------------------------
@@ -257,17 +275,53 @@ def _held_out(k):
     return [F.col("fold") != i for i in range(k)]
 
 
+def _union(frames):
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
+
+
+def _folded(df, k, seeds, label):
+    """Ids and labels with the fold of every seed as `fold_<number>`, and the text met once, by id."""
+    ids = df.select("id", F.col(label).alias("label"))
+    folds = None
+    for n, seed in enumerate(seeds):
+        one = stratified_folds(ids, k, seed, "label").withColumnRenamed("fold", f"fold_{n}")
+        folds = one if folds is None else folds.join(one.select("id", f"fold_{n}"), "id")
+    return settle(folds)
+
+
+def _logistic_runs(df, k, seeds, label, text, bigrams, with_train, max_fit_rows=MAX_FIT_ROWS, min_df=2,
+                   **solver):
+    """(seed number, model, id, label, fold, probability, predicted, confidence) of all folds of all seeds,
+    fitted over the same vectors."""
+    docs = df.select("id", text).join(_folded(df, k, seeds, label), "id")
+    runs = [(n, i) for n in range(len(seeds)) for i in range(k)]
+    space = _logistic_space(docs, [F.col(f"fold_{n}") != i for n, i in runs], "label", max_fit_rows,
+                            min_df, text, bigrams)
+
+    def use(number, fit):
+        n, i = runs[number]
+        rows = space.rows if with_train else space.rows.where(F.col(f"fold_{n}") == i)
+        return fit.predictions(rows.withColumn("fold", F.col(f"fold_{n}")), space.classes,
+                               ["id", "label", "fold"]).withColumns({"_seed": F.lit(n), "model": F.lit(i)})
+    return _union(linear.for_each_set(space, use, **solver))
+
+
 def cross_validated(df, k=5, seed=0, label="subreddit", text="text", bigrams=True,
-                    with_train=False, **options):
+                    with_train=False, learner="logistic", **options):
     """Every row scored by the model of its fold, which never saw it (`model = fold`).
 
     With `with_train` the other models' scores are returned as well.
     """
-    # Only ids and labels are ranked; the text meets its fold once, by id.
-    docs = settle(stratified_folds(df.select("id", F.col(label).alias("label")), k, seed, "label"))
-    terms = training_terms(df.select("id", text).join(docs, "id"), "label", text, bigrams)
-    models = fit_models(docs, terms, _held_out(k), label="label", **options)
-    return score_terms(models, terms, ["label", "fold"], None if with_train else "fold")
+    if learner == "logistic":
+        return _logistic_runs(df, k, [seed], label, text, bigrams, with_train, **options).drop("_seed")
+    docs = df.select("id", text).join(
+        _folded(df, k, [seed], label).withColumnRenamed("fold_0", "fold"), "id")
+    terms = training_terms(docs, "label", text, bigrams)
+    models = fit_models(docs, terms, _held_out(k), label="label", learner=learner, **options)
+    return score_texts(models, docs, text, bigrams, ["label", "fold"], None if with_train else "fold")
 
 
 def oof_predictions(df, k=5, seed=0, **options):
@@ -285,13 +339,16 @@ def fold_scores(predictions, group=("fold",)):
         F.max(F.when(F.col("row") == "macro avg", F.col("f1"))).alias("macro_f1"))
 
 
-def repeated_predictions(df, k=5, seeds=range(5), **options):
+def repeated_predictions(df, k=5, seeds=range(5), label="subreddit", text="text", bigrams=True,
+                         learner="logistic", **options):
     """Out-of-fold predictions for several fold assignments, told apart by `seed`."""
-    runs = None
-    for seed in seeds:
-        run = oof_predictions(df, k, seed, **options).withColumn("seed", F.lit(seed))
-        runs = run if runs is None else runs.unionByName(run)
-    return runs
+    seeds = list(seeds)
+    if learner == "logistic":
+        runs = _logistic_runs(df, k, seeds, label, text, bigrams, False, **options)
+        number = F.array(*[F.lit(s) for s in seeds])
+        return runs.withColumn("seed", F.get(number, F.col("_seed"))).drop("_seed", "model")
+    return _union([oof_predictions(df, k, seed, label=label, text=text, bigrams=bigrams, learner=learner,
+                                   **options).withColumn("seed", F.lit(seed)) for seed in seeds])
 
 
 def cv_scores(df, k=5, seeds=range(5), **options):
@@ -360,9 +417,8 @@ LEARNING_SIZES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
 
 
 def learning_curve(df, fractions=LEARNING_SIZES, k=5, seed=42, label="subreddit", text="text",
-                   bigrams=True, min_df=1, **options):
+                   bigrams=True, min_df=1, learner="logistic", **options):
     """Held-out accuracy when training on growing shuffled prefixes of each training fold, whole ones."""
-    options["max_fit_rows"] = None                           # else `train_size` is not what was fitted
     docs = stratified_folds(df.select("id", F.col(label).alias("label")), k, seed, "label")
     # One shuffle of all rows; the prefix of a training fold is its first rows in that order.
     order = docs.withColumn("_h", numeric.seeded_hash(F.col("id"), f"curve{seed}"))
@@ -374,19 +430,27 @@ def learning_curve(df, fractions=LEARNING_SIZES, k=5, seed=42, label="subreddit"
     docs = settle(order.drop("_h"))
     n_train = docs.where(F.col("fold") != 0).count()
     sizes = [int(f * n_train) for f in fractions]
-    terms = training_terms(df.select("id", text).join(docs, "id"), "label", text, bigrams)
-    sets, keys = [], []
-    for i in range(k):
-        for size in sizes:
-            sets.append((F.col("fold") != i) & (F.col(f"rank{i}") <= size))
-            keys.append((len(keys), i, size))
-    models = fit_models(docs, terms, sets, label="label", min_df=min_df, **options)
-    chosen = df.sparkSession.createDataFrame(keys, "model int, fold int, train_size int")
-    held_out = terms.select("id", "label", "fold", "term", "tf",
-                            F.explode(F.sequence(F.col("fold") * len(sizes),
-                                                 F.col("fold") * len(sizes) + len(sizes) - 1))
-                            .alias("_model"))
-    scored = score_terms(models, held_out, ["label", "fold"], "_model")
-    per_fold = metrics.accuracy(scored, "label", "predicted", ["model", "fold"])
-    return per_fold.join(F.broadcast(chosen), ["model", "fold"]).groupBy("train_size").agg(
+    docs = df.select("id", text).join(docs, "id")
+    keys = [(i, size) for i in range(k) for size in sizes]
+    sets = [(F.col("fold") != i) & (F.col(f"rank{i}") <= size) for i, size in keys]
+    spark = df.sparkSession
+    if learner == "logistic":
+        # all rows of a set, else `train_size` is not what was fitted
+        space = _logistic_space(docs, sets, "label", None, min_df, text, bigrams)
+
+        def use(number, fit):
+            fold, size = keys[number]
+            scored = fit.predictions(space.rows.where(F.col("fold") == fold), space.classes, ["id", "label"])
+            return (size, metrics.accuracy(scored, "label", "predicted").first()["accuracy"])
+        per_fold = spark.createDataFrame(linear.for_each_set(space, use, **options), "train_size int, accuracy double")
+    else:
+        terms = training_terms(docs, "label", text, bigrams)
+        models = fit_models(docs, terms, sets, label="label", learner=learner, min_df=min_df, **options)
+        chosen = spark.createDataFrame([(n, *key) for n, key in enumerate(keys)], "model int, fold int, train_size int")
+        held_out = docs.withColumn("_model", F.explode(F.sequence(
+            F.col("fold") * len(sizes), F.col("fold") * len(sizes) + len(sizes) - 1)))
+        scored = score_texts(models, held_out, text, bigrams, ["label", "fold"], "_model")
+        per_fold = metrics.accuracy(scored, "label", "predicted", ["model", "fold"]).join(
+            F.broadcast(chosen), ["model", "fold"])
+    return per_fold.groupBy("train_size").agg(
         F.avg("accuracy").alias("cv_accuracy"), F.count(F.lit(1)).alias("n_folds"))

@@ -1,5 +1,6 @@
 """Session settings the jobs are written for; any session works, these are the defaults."""
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +33,11 @@ def checkpoint_dir(spark):
     return named
 
 
+def new_folder(spark, name):
+    """A folder of its own below the shared folder, not yet created."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df):
     """Write `df` to the checkpoint folder once, so that later readers do not recompute it."""
     checkpoint_dir(df.sparkSession)
