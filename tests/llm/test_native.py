@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from tidewatch.llm import exact, secrets, urls
 
@@ -41,6 +42,40 @@ def test_index_remembers_earlier_batches(spark, tmp_path):
     assert plan.count("Exchange") == 1                       # the index side is not moved
 
 
+def test_an_index_keeps_its_layout(spark, tmp_path):
+    """Opened again with another number of buckets, in a catalogue that does not know it."""
+    folder = f"file://{tmp_path}/it's an index"
+    rows = [(i, f"text {i}") for i in range(200)]
+    assert all(r.kept for r in exact.dedup_batch(frame(spark, rows), exact.DigestIndex(spark, folder, 4)).collect())
+    spark.sql(f"DROP TABLE {exact.DigestIndex(spark, folder).name}")
+    for buckets in (64, None):
+        index = exact.DigestIndex(spark, folder, buckets)
+        assert index.buckets == 4
+        again = exact.dedup_batch(frame(spark, [(i + 1000, t) for i, t in rows]), index).collect()
+        assert not any(r.kept for r in again) and len(again) == 200
+        assert exact.keep_unique(frame(spark, rows), folder).isEmpty()
+
+
+def test_indexes_in_similar_folders_are_two(spark, tmp_path):
+    names = [f"file://{tmp_path}/idx/a", f"file://{tmp_path}/idx_a"]
+    for name in names:
+        assert all(r.kept for r in exact.dedup_batch(frame(spark, [(1, "x")]), exact.DigestIndex(spark, name)).collect())
+
+
+def test_an_index_without_layout_is_refused(spark, tmp_path):
+    frame(spark, [("x",)], "text_sha256 string").write.parquet(f"file://{tmp_path}/old")
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, f"file://{tmp_path}/old")
+
+
+def test_a_text_that_half_of_all_rows_share(spread):
+    rows = [(i, "hot" if i % 2 else f"text {i}") for i in range(4000)]
+    got = exact.exact_dedup(frame(spread, rows))
+    sizes = [r["count"] for r in got.groupBy(spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * len(rows) / 4
+    assert {r.doc_id for r in got.collect() if not r.kept} == set(range(1, 3999, 2))
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact.exact_dedup(frame(spark, [])).count() == 0
 

@@ -75,16 +75,12 @@ def test_ends_are_hashed_over_blocks(spark):
     assert got == {0: tr.EMPTY, 1: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()}
 
 
-def test_counted_joins_spread_heavy_keys(spark):
+def test_counted_joins_spread_heavy_keys(spread):
     """Half of all rows share a key: no task of the shuffle join reads more than twice the mean."""
     from pyspark.sql import functions as F
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        rows = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 3000).alias("k"))
-        groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
-        joined = shared.join_counted(rows, groups, ["k"], "n", ["id"])
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
-        assert sum(sizes) == 20_000 and joined.where("top IS NULL").count() == 0
-        assert max(sizes) <= 2 * 20_000 / 4
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = spread.range(20_000).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 3000).alias("k"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    joined = shared.join_counted(rows, groups, ["k"], "n", ["id"])
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and joined.where("top IS NULL").count() == 0
+    assert max(sizes) <= 2 * 20_000 / 4

@@ -33,12 +33,13 @@ def heavy_bound(groups, count, least=200):
     return max(least, -(-total // HEAVY_KEYS))
 
 
-def join_counted(rows, groups, keys, count, spread, least=200):
+def join_counted(rows, groups, keys, count, spread, least=200, between=None):
     """`rows` left-joined to `groups` (unique in `keys`, never null), of which `count` says how many
     rows share the key.
 
     Groups with many rows are few, because the counts add up to all rows; they are broadcast, and
-    their rows go on dealt out by the columns `spread`. The others are joined by shuffle.
+    their rows go on dealt out by the columns `spread`. The others are joined by shuffle. `between`
+    changes the rows before it, when the groups' columns are there for the heavy ones as `_heavy_...`.
     """
     bound = heavy_bound(groups, count, least)
     others = [c for c in groups.columns if c not in keys]
@@ -47,8 +48,8 @@ def join_counted(rows, groups, keys, count, spread, least=200):
     light = groups.where(F.col(count) < bound).withColumn("_salt", F.lit(0))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.when(F.col("_heavy"), 1 + F.pmod(F.xxhash64(*spread), F.lit(n))).otherwise(F.lit(0)).cast("int")
-    joined = (rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt)
-              .join(light, [*keys, "_salt"], "left"))
+    first = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt)
+    joined = (between(first) if between else first).join(light, [*keys, "_salt"], "left")
     return joined.withColumns({c: F.coalesce(f"_heavy_{c}", c) for c in others}).drop(
         "_salt", "_heavy", *[f"_heavy_{c}" for c in others])
 
