@@ -9,14 +9,18 @@ item that stands in the document lies wholly inside a window at most about four
 bounds the similarity of the two sets from below whatever the document's length, and any one of the
 `FUNCTIONS` minima that agrees makes a candidate.
 
-The items' minima go to the tasks as a Bloom filter of fixed size; windows with a minimum that the
-filter knows become rows, joined to the items' minima for the exact candidates. A candidate is confirmed by the
-share of the item's shingles in the whole document. Documents without a hit never leave their task.
+The items' minima go to the tasks as a Bloom filter of some sixteen bits a key; windows with a minimum
+that the filter knows become rows, joined to the items' minima for the exact candidates. A benchmark with
+more keys than the largest filter serves is dealt into parts that are searched one after the other. A
+candidate is confirmed by the share of the item's shingles in the whole document. Documents without a hit
+never leave their task.
 
 Defined cases: an item of one to four words is one shingle and is found where these words stand in a
 row; an item without words or id, and a document without words, matches nothing; repeated items and
-repeated documents are matched each by itself, by rows, and reported once per pair of ids; an empty
-benchmark or corpus gives no rows; other columns are not looked at.
+repeated documents are matched each by itself, by rows, and reported once per pair of ids (pairs without
+a doc_id are not reported); `clean` decides by row, told by doc_id (null or not) and text, so rows that
+share an id, or have none, do not decide for each other; an empty benchmark or corpus gives no rows;
+other columns are not looked at.
 """
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,10 @@ from tidewatch.llm.shared import SHINGLE_WORDS, alnum_words, mix, shingle_hashes
 FUNCTIONS = 64
 LEAST_SIZE = 8               # items of up to so many shingles are searched exactly
 CONTAINED = 0.75
-TABLE_BITS = 24              # a filter of 2 MB, whatever the number of items
-PROBES = (40, 20, 0)         # each takes so many bits of a key, from there on
+BITS_PER_KEY = 16            # three probes: some 5 in 1000 foreign keys pass, checked by the join
+LEAST_BITS, MOST_BITS = 20, 28   # a filter has 2**20 to 2**28 bits: 32 MB
+PROBES = (36, 18, 0)         # each takes the filter's number of bits of a key, from there on
+BITMAP = 1 << 15             # bits that one row of the filter's table holds
 
 _SEEDS = mix(np.arange(1, 2 * FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _FACTOR, _SHIFT = _SEEDS[:FUNCTIONS] | np.uint64(1), _SEEDS[FUNCTIONS:]
@@ -100,28 +106,37 @@ def item_rows(benchmark, contained=CONTAINED):
             "item", F.xxhash64("item_id", "shingles"))
 
 
-def bit_table(items):
-    """The bits of all item keys, as an array of 2**TABLE_BITS / 64 words: at most 262,144 rows are
-    collected."""
-    places = [F.shiftrightunsigned(F.col("key"), p).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) for p in PROBES]
+def filter_bits(n_keys):
+    """How many bits the filter of so many keys has, as a power of two, up to `MOST_BITS`."""
+    bits = LEAST_BITS
+    while bits < MOST_BITS and (1 << bits) < BITS_PER_KEY * n_keys:
+        bits += 1
+    return bits
+
+
+def bit_table(items, bits):
+    """The filter of all item keys as bytes: at most 2**(bits - 15) rows of 4 KB are collected."""
+    places = [F.shiftrightunsigned(F.col("key"), p).bitwiseAND(F.lit((1 << bits) - 1)) for p in PROBES]
     place = F.col("place")
-    words = items.select(F.explode("keys").alias("key")).select(F.explode(F.array(*places)).alias("place")).select(
-        F.shiftright(place, 6).alias("word"), (place % 64).cast("int").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return table.view(np.uint64)
+    rows = items.select(F.explode("keys").alias("key")).select(F.explode(F.array(*places)).alias("place")).groupBy(
+        F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(BITMAP - 1)).alias("bits"))
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for row in rows.toLocalIterator():
+        table[row["part"] * (BITMAP // 8):(row["part"] + 1) * (BITMAP // 8)] = np.frombuffer(row["bits"], np.uint8)
+    return table
 
 
 def candidates(docs, table, kinds):
-    """Rows of documents with at least one hit: doc_id, all distinct shingles, and the hit keys."""
+    """Rows of documents with at least one hit: doc_id, a hash of the text, all distinct shingles, and
+    the hit keys."""
     def search(batches):
-        bits = np.unpackbits(table.value.view(np.uint8), bitorder="little")
-        mask = np.uint64((1 << TABLE_BITS) - 1)
+        bits = table.value
+        mask = np.uint64(8 * len(bits) - 1)
         largest = {w: max(p for v, p in kinds if v == w) for w, _ in kinds}
         for batch in batches:
             out = []
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for name, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(),
+                                        batch.column("text")):
                 words = alnum_words(text.as_py())
                 hits, members = [], []
                 for width in sorted(largest):
@@ -139,47 +154,72 @@ def candidates(docs, table, kinds):
                                 window = np.minimum(minima, np.concatenate((minima[:, 1:], minima[:, -1:]), axis=1))
                                 hit = minima_keys(window, width, size).ravel()
                             for probe in PROBES:
-                                hit = hit[bits[(hit >> np.uint64(probe)) & mask] == 1]
+                                place = (hit >> np.uint64(probe)) & mask
+                                hit = hit[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1]
                             if len(hit):
                                 hits.append(np.unique(hit))
                         size *= 2
                     members.append(shingles)
                 if hits:
-                    out.append((name, np.unique(np.concatenate(members)).view(np.int64),
+                    out.append((name, mark, np.unique(np.concatenate(members)).view(np.int64),
                                 np.concatenate(hits).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (
-                    pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
-                ["doc_id", "shingles", "keys"])
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(
-        search, "doc_id long, shingles array<long>, keys array<long>").withColumn(
-            "row", F.xxhash64("doc_id", "shingles"))
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (
+                    pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
+                ["doc_id", "text_hash", "shingles", "keys"])
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        search, "doc_id long, text_hash long, shingles array<long>, keys array<long>").withColumn(
+            "row", F.xxhash64("doc_id", "text_hash"))
 
 
-def contaminated(docs, benchmark, contained=CONTAINED):
-    """doc_id, item_id, n_shared, n_item and containment of every pair in which the document has at
-    least that share of the item's shingles, for the pairs with an item of its size in one place."""
+def _hits(docs, benchmark, contained):
+    """doc_id, text_hash, item_id, n_shared and n_item of every row and item it contains; None without items."""
     spark = docs.sparkSession
     items = written(item_rows(benchmark, contained), "items")
-    kinds = {(r["width"], r["partition"]) for r in items.select("width", "partition").distinct().collect()}
-    if not kinds:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long, containment double")
-    table = spark.sparkContext.broadcast(bit_table(items))
+    n_keys = items.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts = -(-n_keys * BITS_PER_KEY // (1 << MOST_BITS))
+    found = []
+    for part in range(parts):
+        some = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else items
+        kinds = {(r["width"], r["partition"]) for r in some.select("width", "partition").distinct().collect()}
+        if kinds:
+            found.append(_search(docs, some, kinds, filter_bits(n_keys // parts), contained))
+    whole = found[0] if found else None
+    for one in found[1:]:
+        whole = whole.unionByName(one)
+    return whole
+
+
+def _search(docs, items, kinds, bits, contained):
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(items, bits))
     hits = written(candidates(docs, table, kinds), "hits")
     pairs = hits.select("row", F.explode("keys").alias("key")).join(
         items.select("item", F.explode("keys").alias("key")), "key").select("row", "item").distinct()
-    both = pairs.join(hits.select("row", "doc_id", F.col("shingles").alias("document")), "row").join(
+    both = pairs.join(hits.select("row", "doc_id", "text_hash", F.col("shingles").alias("document")), "row").join(
         items.select("item", "item_id", "shingles"), "item")
     n_item = F.size("shingles").cast("long")
     shared = F.size(F.array_intersect("shingles", "document")).cast("long")
-    counted = both.select("doc_id", "item_id", shared.alias("n_shared"), n_item.alias("n_item"))
-    found = counted.where(F.col("n_shared") >= contained * F.col("n_item"))
-    return found.groupBy("doc_id", "item_id").agg(
+    counted = both.select("doc_id", "text_hash", "item_id", shared.alias("n_shared"), n_item.alias("n_item"))
+    return counted.where(F.col("n_shared") >= contained * F.col("n_item"))
+
+
+def contaminated(docs, benchmark, contained=CONTAINED):
+    """doc_id, item_id, n_shared, n_item and containment of every pair in which the document has at
+    least that share of the item's shingles, for the pairs with an item of its size in one place."""
+    found = _hits(docs, benchmark, contained)
+    if found is None:
+        return docs.sparkSession.createDataFrame(
+            [], "doc_id long, item_id long, n_shared long, n_item long, containment double")
+    return found.where("doc_id IS NOT NULL").groupBy("doc_id", "item_id").agg(
         F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item")).withColumn(
             "containment", F.col("n_shared") / F.col("n_item"))
 
 
 def clean(docs, benchmark, contained=CONTAINED):
     """The rows of `docs` in which no item is contained, with all their columns."""
-    gone = contaminated(docs, benchmark, contained).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = _hits(docs, benchmark, contained)
+    if found is None:
+        return docs
+    gone = found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_text_hash"])
+    return docs.join(gone, same, "left_anti")
