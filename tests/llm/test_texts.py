@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewatch.llm import (decontaminate, packing, quality, setsketch, shared, tokens, toxicity, warc)
@@ -246,6 +247,25 @@ def test_links_across_blocks(spark):
     assert {bytes(r.label) for r in components(edges).collect()} == {bytes([0])}
 
 
+def test_rows_that_share_an_id_stay_or_go_by_row(spark):
+    """Id 5 stands for a near copy of document 2 and for a text of its own."""
+    rng = random.Random(11)
+    base, own = prose(rng, 200), prose(rng, 90)
+    docs = [(2, base, 0), (5, base + " end", 1), (5, own, 2), (None, base, 3), (None, None, 4), (9, base, 5)]
+    kept = setsketch.keep_one(frame(spark, docs, "doc_id long, text string, label int"))
+    assert kept.columns == ["doc_id", "text", "label"] and sorted(r[2] for r in kept.collect()) == [0, 2, 3, 4]
+
+
+def test_near_groups_of_a_set_that_half_of_all_rows_share(spread):
+    rng = random.Random(13)
+    hot = prose(rng, 40)
+    docs = [(i, hot if i % 2 else prose(rng, 12)) for i in range(1200)]
+    got = setsketch.near_groups(frame(spread, docs))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * len(docs) / 4
+    assert {r.component_id for r in got.collect() if r.doc_id % 2} == {1}
+
+
 # ---------------------------------------------------------------- decontamination
 
 def test_contamination_against_brute_force(spark):
@@ -274,10 +294,37 @@ def test_contamination_against_brute_force(spark):
     got = decontaminate.contaminated(frame(spark, docs), frame(spark, items, schema)).collect()
     assert {tuple(r)[:4] for r in got} == expected and len(got) == len(expected)
     kept = decontaminate.clean(frame(spark, docs), frame(spark, items, schema))
-    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, *_ in expected}
+    # a row without doc_id that holds an item goes too
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs if d is not None} - {d for d, *_ in expected}
     assert decontaminate.contaminated(frame(spark, docs), frame(spark, [], schema)).count() == 0
 
 
+def test_rows_that_share_an_id_are_cleaned_by_row(spark):
+    rng = random.Random(8)
+    item, fine, other = prose(rng, 30), prose(rng, 80), prose(rng, 70)
+    docs = [(1, fine, 0), (1, f"{other} {item} {other}", 1), (None, f"{fine} {item}", 2), (None, other, 3), (2, None, 4)]
+    kept = decontaminate.clean(frame(spark, docs, "doc_id long, text string, _gone int"),
+                               frame(spark, [(7, item)], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "_gone"] and sorted(r[2] for r in kept.collect()) == [0, 3, 4]
+
+
+def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 15)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 15)
+    rng = random.Random(9)
+    items = [(i, prose(rng, rng.choice((4, 12, 40)))) for i in range(120)]
+    docs = [(i, f"{prose(rng, 40)} {t} {prose(rng, 40)}") for i, t in items]
+    got = decontaminate.contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    assert {(i, i) for i, _ in items} <= {(r.doc_id, r.item_id) for r in got}
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+
+
+def test_the_filter_grows_with_the_keys():
+    assert decontaminate.filter_bits(0) == 20 and decontaminate.filter_bits(10**9) == 28
+    for n in (1, 70_000, 10**6, 10**7):
+        assert (1 << decontaminate.filter_bits(n)) >= decontaminate.BITS_PER_KEY * n
+
+
 def test_short_items_are_never_missed(spark):
     rng = random.Random(12)
     words = [f"{a}{b}" for a in WORDS for b in WORDS]

@@ -3,7 +3,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import written
+from tidewatch.llm.shared import join_counted, written
+
+TASKS_A_BLOCK = 4            # tasks for each block's worth of weight
 
 
 def components(edges, most_rounds=60):
@@ -68,12 +70,17 @@ def link_within(rows, make_linker, payload, block_weight):
     link between two parts is lost.
     """
     columns = ["group", "id", "weight", *payload]
-    sizes = rows.groupBy("group").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
-    sizes = sizes.where("n > 1").select(
-        "group", F.ceil(F.col("total") / block_weight).cast("int").alias("blocks"))
+    # Sizes first, as a table of their own: rows of large groups meet theirs by broadcast and go
+    # straight to their block, and the number of tasks follows from the counted weight.
+    sizes = written(rows.groupBy("group").agg(
+        F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
+            "group", "n", "total", F.ceil(F.col("total") / block_weight).cast("int").alias("blocks")), "group-sizes")
+    total = sizes.agg(F.sum("total")).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * TASKS_A_BLOCK // block_weight))
     block = F.when(F.col("blocks") == 1, 0).otherwise(
         F.pmod(F.xxhash64("id", "group"), F.col("blocks"))).cast("int")
-    dealt = rows.select(*columns).join(sizes, "group").withColumn("block", block)
+    dealt = join_counted(rows.select(*columns), sizes.drop("total"), ["group"], "n", ["id"]).where(
+        "blocks IS NOT NULL").drop("n").withColumn("block", block)
 
     def inside(pdf):
         # In order of the ids each star is around its smallest, so that no hub has smaller neighbours.
@@ -82,7 +89,8 @@ def link_within(rows, make_linker, payload, block_weight):
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({"a": ids[roots], "b": ids[members]}, columns=["a", "b"])
 
-    first = written(dealt.groupBy("group", "block").applyInPandas(inside, "a binary, b binary"), "links")
+    first = written(dealt.repartition(tasks, "group", "block").groupBy("group", "block").applyInPandas(
+        inside, "a binary, b binary"), "links")
     large = sizes.where("blocks > 1")
     if large.isEmpty():
         return first

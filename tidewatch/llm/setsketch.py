@@ -15,7 +15,9 @@ agree with a probability near the Jaccard similarity.
 
 Defined cases: null, empty or blank text has an empty set and no links; with fewer than five words
 the whole sequence is one shingle; a row without doc_id is not linked, has no component and stays;
-repeated rows each get a result, all with the same component. Other columns are not looked at.
+repeated rows each get a result, all with the same component; `keep_one` decides by row, told by doc_id
+and text, so of rows that share an id each stays or goes with its own text. Other columns are not
+looked at. Classes that many rows share reach their rows by broadcast (`join_counted`).
 """
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components, link_within
-from tidewatch.llm.shared import mix, shingle_hashes, text_of, word_hashes, written
+from tidewatch.llm.shared import join_counted, mix, shingle_hashes, text_of, word_hashes, written
 
 REGISTERS = 128
 BAND = 4                     # registers of a band; 32 bands miss a pair of 0.75 once in 190,000
@@ -148,13 +150,13 @@ def set_linker(pdf):
     return linked
 
 
-def near_groups(docs):
-    """doc_id, n_shingles, component_id and kept for every row of `docs`."""
+def _judged(docs):
+    """doc_id, text_hash, n_shingles, component_id and kept for every row of `docs`."""
     rows = written(sketched(docs), "sketches")
     classes = written(rows.where("set_key is not null").groupBy("set_key").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n_shingles"),
-        F.max("sketch").alias("sketch")).select(
-            "set_key", "n_shingles", "sketch", F.col("first.doc_id").alias("first_id"),
+        F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("n_rows")).select(
+            "set_key", "n_shingles", "sketch", "n_rows", F.col("first.doc_id").alias("first_id"),
             F.col("first.text_hash").alias("text_hash")), "classes")
 
     bands = written(banded(classes), "bands")
@@ -180,15 +182,26 @@ def near_groups(docs):
         "label", "set_key", "first_id")
     smallest = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_key = linked.join(smallest, "label").select("set_key", "component_id")
-    own = classes.select("set_key", "first_id").join(by_key, "set_key", "left").select(
-        "set_key", F.coalesce("component_id", "first_id").alias("component_id"))
-    result = rows.join(own, "set_key", "left")
+    own = written(classes.select("set_key", "first_id", "n_rows").join(by_key, "set_key", "left").select(
+        "set_key", "n_rows", F.coalesce("component_id", "first_id").alias("component_id")), "components-of-sets")
+    narrow = rows.select("doc_id", "text_hash", "n_shingles", "set_key")
+    result = join_counted(narrow.where("set_key is not null"), own, ["set_key"], "n_rows", ["doc_id", "text_hash"])
+    alone = narrow.where("set_key is null").withColumn("component_id", F.lit(None).cast("long"))
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
     component = F.coalesce("component_id", "doc_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"),
-                         component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return result.select(*columns).unionByName(alone.select(*columns)).select(
+        "doc_id", "text_hash", "n_shingles", component.alias("component_id"),
+        component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def near_groups(docs):
+    """doc_id, n_shingles, component_id and kept for every row of `docs`."""
+    return _judged(docs).drop("text_hash")
 
 
 def keep_one(docs):
     """The rows of `docs` that stay, with all their columns: one document of each group."""
-    gone = near_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = _judged(docs).where(~F.col("kept")).select(
+        F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_text_hash"])
+    return docs.join(gone, same, "left_anti")

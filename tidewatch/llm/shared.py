@@ -45,9 +45,9 @@ def join_counted(rows, groups, keys, count, spread, least=200, between=None):
     others = [c for c in groups.columns if c not in keys]
     heavy = groups.where(F.col(count) >= bound).select(
         *keys, *[F.col(c).alias(f"_heavy_{c}") for c in others], F.lit(True).alias("_heavy"))
-    light = groups.where(F.col(count) < bound).withColumn("_salt", F.lit(0))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.when(F.col("_heavy"), 1 + F.pmod(F.xxhash64(*spread), F.lit(n))).otherwise(F.lit(0)).cast("int")
+    # Always 0, but not a literal: that would be folded away and with it the salt from the join's keys.
+    light = groups.where(F.col(count) < bound).withColumn("_salt", F.least(F.col(count).cast("long"), F.lit(0)))
+    salt = F.when(F.col("_heavy"), F.xxhash64(*spread).bitwiseOR(1)).otherwise(F.lit(0).cast("long"))
     first = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt)
     joined = (between(first) if between else first).join(light, [*keys, "_salt"], "left")
     return joined.withColumns({c: F.coalesce(f"_heavy_{c}", c) for c in others}).drop(
