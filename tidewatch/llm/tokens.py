@@ -4,7 +4,8 @@ A text's key is the SHA-256 of its normalised content (null becomes the empty te
 be normalised away without changing a count) and that of the tokenizer's file. Keys are joined to the
 stored counts; only distinct texts without one are encoded, and their counts are appended.
 
-Copies collapse map-side, so a text that makes up a third of the rows reaches the encoder once. The
+Copies collapse map-side, so a text that makes up a third of the rows reaches the encoder once, and its
+rows get the count by broadcast (`join_counted`). The
 cache is a Parquet folder partitioned by tokenizer version. A count is a function of its key, so if
 two jobs append the same key, or a job is run again, reading takes any one of the rows.
 
@@ -16,8 +17,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import (ChunkMemo, batches_of_texts, new_folder, single_thread, text_of,
-                                  tokenizer_path)
+from tidewatch.llm.shared import (ChunkMemo, batches_of_texts, join_counted, new_folder, single_thread,
+                                  text_of, tokenizer_path, written)
 
 TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -117,6 +118,8 @@ def count_tokens(docs, cache=None, tokenizer=TOKENIZER, limit=LIMIT):
     path = tokenizer_path(tokenizer)
     version = version_of(path)
     encode_misses(docs, cache, path, version)
-    counts = cached(spark, cache, version)
-    rows = keyed(docs, version).select("doc_id", "content").join(counts, "content")
+    rows = keyed(docs, version).select("doc_id", "content")
+    sizes = rows.groupBy("content").agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = written(cached(spark, cache, version).join(sizes, "content"), "counted-contents")
+    rows = join_counted(rows, counts, ["content"], "n_rows", ["doc_id"])
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
