@@ -27,7 +27,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import new_folder, text_of, written
+from tidewatch.llm.shared import join_counted, new_folder, text_of, written
 
 MIN_SHARED = 100
 PACKAGE_BYTES = 64 << 20
@@ -174,7 +174,11 @@ def decide_records(pages):
     large = F.col("payload_bytes") >= MIN_SHARED
     firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first_id"),
                                                      F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(firsts.drop("n"), "digest", "left")
+    # What many pages share is known before anything is shuffled: their copies go on without payload.
+    joined = join_counted(
+        rows, written(firsts, "repeated-payloads"), ["digest"], "n", ["page_id"],
+        between=lambda df: df.withColumn("html", F.when(
+            F.col("_heavy").isNull() | F.col("_heavy_first_id").eqNullSafe(F.col("page_id")), F.col("html"))))
     is_first = F.col("first_id").eqNullSafe(F.col("page_id"))
     return joined.select(
         "page_id", "url", "payload_bytes", "digest",
