@@ -308,9 +308,11 @@ def test_rows_that_share_an_id_are_cleaned_by_row(spark):
     assert kept.columns == ["doc_id", "text", "_gone"] and sorted(r[2] for r in kept.collect()) == [0, 3, 4]
 
 
-def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MOST_BITS", 15)
+@pytest.mark.parametrize("unpacked", [10, 26])
+def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch, unpacked):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 19)
     monkeypatch.setattr(decontaminate, "LEAST_BITS", 15)
+    monkeypatch.setattr(decontaminate, "UNPACKED_BITS", unpacked)
     rng = random.Random(9)
     items = [(i, prose(rng, rng.choice((4, 12, 40)))) for i in range(120)]
     docs = [(i, f"{prose(rng, 40)} {t} {prose(rng, 40)}") for i, t in items]
@@ -320,8 +322,8 @@ def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch):
 
 
 def test_the_filter_grows_with_the_keys():
-    assert decontaminate.filter_bits(0) == 20 and decontaminate.filter_bits(10**9) == 28
-    for n in (1, 70_000, 10**6, 10**7):
+    assert decontaminate.filter_bits(0) == 24 and decontaminate.filter_bits(10**9) == 29
+    for n in (1, 70_000, 10**6, 2 * 10**6):
         assert (1 << decontaminate.filter_bits(n)) >= decontaminate.BITS_PER_KEY * n
 
 

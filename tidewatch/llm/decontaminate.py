@@ -9,7 +9,7 @@ item that stands in the document lies wholly inside a window at most about four
 bounds the similarity of the two sets from below whatever the document's length, and any one of the
 `FUNCTIONS` minima that agrees makes a candidate.
 
-The items' minima go to the tasks as a Bloom filter of some sixteen bits a key; windows with a minimum
+The items' minima go to the tasks as a Bloom filter of at least 256 bits a key; windows with a minimum
 that the filter knows become rows, joined to the items' minima for the exact candidates. A benchmark with
 more keys than the largest filter serves is dealt into parts that are searched one after the other. A
 candidate is confirmed by the share of the item's shingles in the whole document. Documents without a hit
@@ -31,9 +31,10 @@ from tidewatch.llm.shared import SHINGLE_WORDS, alnum_words, mix, shingle_hashes
 FUNCTIONS = 64
 LEAST_SIZE = 8               # items of up to so many shingles are searched exactly
 CONTAINED = 0.75
-BITS_PER_KEY = 16            # three probes: some 5 in 1000 foreign keys pass, checked by the join
-LEAST_BITS, MOST_BITS = 20, 28   # a filter has 2**20 to 2**28 bits: 32 MB
-PROBES = (36, 18, 0)         # each takes the filter's number of bits of a key, from there on
+BITS_PER_KEY = 256           # three probes: some 2 in a million foreign keys pass and go on to the join
+LEAST_BITS, MOST_BITS = 24, 29   # a filter has 2**24 to 2**29 bits: 2 to 64 MB
+UNPACKED_BITS = 26           # up to here a task looks bits up as bytes of their own
+PROBES = (35, 17, 0)         # each takes the filter's number of bits of a key, from there on
 BITMAP = 1 << 15             # bits that one row of the filter's table holds
 
 _SEEDS = mix(np.arange(1, 2 * FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -132,6 +133,14 @@ def candidates(docs, table, kinds):
     def search(batches):
         bits = table.value
         mask = np.uint64(8 * len(bits) - 1)
+        unpacked = np.unpackbits(bits, bitorder="little") if 8 * len(bits) <= 1 << UNPACKED_BITS else None
+
+        def known(keys, probe):
+            place = (keys >> np.uint64(probe)) & mask
+            if unpacked is not None:
+                return unpacked[place] == 1
+            return bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
+
         largest = {w: max(p for v, p in kinds if v == w) for w, _ in kinds}
         for batch in batches:
             out = []
@@ -154,8 +163,7 @@ def candidates(docs, table, kinds):
                                 window = np.minimum(minima, np.concatenate((minima[:, 1:], minima[:, -1:]), axis=1))
                                 hit = minima_keys(window, width, size).ravel()
                             for probe in PROBES:
-                                place = (hit >> np.uint64(probe)) & mask
-                                hit = hit[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                                hit = hit[known(hit, probe)]
                             if len(hit):
                                 hits.append(np.unique(hit))
                         size *= 2
