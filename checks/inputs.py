@@ -74,7 +74,7 @@ def labelled(spark, sf_dir):
 def status(spark, sf_dir):
     """Current moderation state of the posts that can still be looked up."""
     n = F.col("doc_id")
-    category = (F.when(n % 29 == 0, "something_new").when(F.col("toxic") == 1, "moderator")
+    category = (F.when(n % 29 == 0, "quarantined").when(F.col("toxic") == 1, "moderator")
                 .when(F.col("quality") == 0, "deleted"))
     return labelled(spark, sf_dir).where(n % 23 != 0).select(
         "id", category.alias("removed_by_category"))

@@ -8,6 +8,9 @@ from tidewatch.operators import features, models, policy
 
 QUERIES = {}
 
+# Repeated fits stop after so many passes of the solver; `logistic_fit_report` shows how far one gets.
+PASSES = 50
+
 
 def query(name, sql=None):
     def register(function):
@@ -162,6 +165,13 @@ def logistic_batch_scoring(spark, sf_dir):
     return models.predict_proba(fitted, docs).select("id", "predicted", "confidence")
 
 
+@query("logistic_fit_report")
+def logistic_fit_report(spark, sf_dir):
+    """How the fits of a five-fold cross-validation end: passes, objective, largest gradient entry."""
+    docs = binary_corpus(spark, sf_dir)
+    return models.cv_fit_report(docs, 5, 0)
+
+
 @query("oof_predictions")
 def oof_predictions(spark, sf_dir):
     return models.oof_predictions(binary_corpus(spark, sf_dir), 5, 0)
@@ -169,13 +179,13 @@ def oof_predictions(spark, sf_dir):
 
 @query("cv_scores")
 def cv_scores(spark, sf_dir):
-    return models.cv_scores(binary_corpus(spark, sf_dir))
+    return models.cv_scores(binary_corpus(spark, sf_dir), max_iter=PASSES)
 
 
 @query("lift_over_rule")
 def lift_over_rule(spark, sf_dir):
     docs = binary_corpus(spark, sf_dir)
-    cv = models.cv_scores(docs)
+    cv = models.cv_scores(docs, max_iter=PASSES)
     rule = tx.keyword_rule(F.col("text"), {"en": PATTERNS["first"], "other": PATTERNS["second"]},
                            "en")
     return models.lift_over_rule(docs, cv, rule)
@@ -183,23 +193,23 @@ def lift_over_rule(spark, sf_dir):
 
 @query("ablation")
 def ablation(spark, sf_dir):
-    return models.ablation(binary_corpus(spark, sf_dir), tx.any_token(PATTERNS))
+    return models.ablation(binary_corpus(spark, sf_dir), tx.any_token(PATTERNS), max_iter=PASSES)
 
 
 @query("compare_learners")
 def compare_learners(spark, sf_dir):
-    return models.compare_learners(corpus(spark, sf_dir), 5, 42)
+    return models.compare_learners(corpus(spark, sf_dir), 5, 42, logistic={"max_iter": PASSES})
 
 
 @query("learning_curve")
 def learning_curve(spark, sf_dir):
-    return models.learning_curve(binary_corpus(spark, sf_dir))
+    return models.learning_curve(binary_corpus(spark, sf_dir), max_iter=PASSES)
 
 
 @query("oof_operating_points")
 def oof_operating_points(spark, sf_dir):
     """Threshold policy on the classifier's own out-of-fold predictions, over seeds."""
-    runs = models.repeated_predictions(corpus(spark, sf_dir))
+    runs = models.repeated_predictions(corpus(spark, sf_dir), max_iter=PASSES)
     scored = runs.withColumn("correct", F.col("predicted") == F.col("label"))
     sweep = policy.threshold_sweep(scored, policy.PRECISION_FLOORS, group=["seed"])
     return policy.operating_point_over_seeds(policy.best_operating_point(sweep, ["seed"]), 5)

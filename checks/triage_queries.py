@@ -26,10 +26,13 @@ def rounded(df, *columns, digits=6):
 
 # --- labels -------------------------------------------------------------------
 
-_OUTCOME = """CASE WHEN removed_by_category IS NULL THEN 'kept'
-  WHEN removed_by_category IN ('moderator', 'automod_filtered', 'reddit', 'anti_evil_ops',
-       'content_takedown', 'copyright_takedown', 'community_ops') THEN 'removed_by_moderation'
-  WHEN removed_by_category IN ('deleted', 'author') THEN 'deleted_by_author'
+def _listed_names(names):
+    return ", ".join(f"'{n}'" for n in names)
+
+
+_OUTCOME = f"""CASE WHEN removed_by_category IS NULL THEN 'kept'
+  WHEN removed_by_category IN ({_listed_names(lab.MODERATION_CATEGORIES)}) THEN 'removed_by_moderation'
+  WHEN removed_by_category IN ({_listed_names(lab.AUTHOR_CATEGORIES)}) THEN 'deleted_by_author'
   ELSE 'other:' || removed_by_category END"""
 
 # Ids below a quarter of the documents carry a label already.
@@ -742,46 +745,44 @@ def normalise_submissions(spark, sf_dir):
         "id", "title", "body", "upvote_ratio", "flair", "snapshot_utc", "domain", "over_18")
 
 
-_WINDOWS = {"all": 100, "year": 60, "month": 30, "week": 10}
+# Days before the newest post that a listing reaches back to; all posts are in the first.
+_DAYS = {"all": 1_000_000, "year": 365, "month": 30, "week": 7, "day": 1}
+_LIMIT, _LEGACY_LIMIT = 20, 30                   # both below the posts of a community
 _LISTED = f"""{twins.POSTS},
-nth AS (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY created_utc DESC, id) AS pos
-        FROM posts),
-entries AS ({" UNION ALL ".join(
-    f"SELECT '{w}' AS wname, {i} AS wrank, * FROM nth WHERE pos <= {n} AND pos % {5 - i} = 0"
-    for i, (w, n) in enumerate(_WINDOWS.items(), 1))}),
+entries AS (SELECT wrank, (96 - score) * 1099511627776 + doc_id AS pos, posts.* FROM posts,
+              (VALUES {", ".join(f"({i}, {d})" for i, d in enumerate(_DAYS.values()))}) w(wrank, days)
+            WHERE created_utc >= (SELECT max(created_utc) FROM posts) - days * 86400.0),
 firsts AS (SELECT * FROM entries QUALIFY
            row_number() OVER (PARTITION BY subreddit, id ORDER BY wrank, pos) = 1)"""
 
 
-def _entries(spark, sf_dir, windows=_WINDOWS):
-    from tidewatch.plans.ranking import top_within
-    posts = inputs.posts(spark, sf_dir).select("id", "subreddit", "doc_id", "created_utc", "title")
-    ranked = top_within(posts, ["subreddit"], [F.col("created_utc").desc(), F.col("id")],
-                        max(windows.values()), "pos")
-    # Window i holds every (5 - i)th of its newest posts: the windows overlap only in part.
-    listed = F.array(*[
-        F.when((F.col("pos") <= n) & (F.col("pos") % max(5 - i, 1) == 0), F.lit(w))
-        for i, (w, n) in enumerate(windows.items(), 1)])
-    return ranked.select("*", F.explode(F.array_compact(listed)).alias("window"))
+def _entries(spark, sf_dir):
+    """Every post in every listing that reaches back to it, by falling score."""
+    posts = inputs.posts(spark, sf_dir).select("id", "subreddit", "doc_id", "created_utc", "title", "score")
+    newest = posts.agg(F.max("created_utc")).scalar()
+    listed = F.array(*[F.when(F.col("created_utc") >= newest - days * 86400.0, F.lit(w)) for w, days in _DAYS.items()])
+    pos = (96 - F.col("score")) * F.lit(1 << 40) + F.col("doc_id")
+    return posts.select("*", pos.alias("pos"), F.explode(F.array_compact(listed)).alias("window"))
 
 
 @query("merged_listing", f"""WITH {_LISTED}, {_SEEN},
 considered AS (SELECT * FROM firsts QUALIFY
-               row_number() OVER (PARTITION BY subreddit ORDER BY wrank, pos, id) <= 20)
+               row_number() OVER (PARTITION BY subreddit ORDER BY wrank, pos, id) <= {_LIMIT})
 SELECT id, subreddit FROM considered WHERE id NOT IN (SELECT id FROM seen)""")
 def merged_listing(spark, sf_dir):
-    merged = listing.merged_listing(_entries(spark, sf_dir), 20, seen=_seen(spark, sf_dir))
+    merged = listing.merged_listing(_entries(spark, sf_dir), _LIMIT, seen=_seen(spark, sf_dir))
     return merged.select("id", "subreddit")
 
 
 @query("legacy_listing", f"""WITH {_LISTED}
 SELECT id, subreddit, created_utc AS submission_datetime,
-       CASE WHEN doc_id % 2 = 0 THEN 'u' || doc_id ELSE 'Unknown' END AS author FROM firsts""")
+       CASE WHEN doc_id % 2 = 0 THEN 'u' || doc_id ELSE 'Unknown' END AS author FROM firsts
+QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY wrank, pos, id) <= {_LEGACY_LIMIT}""")
 def legacy_listing(spark, sf_dir):
     n = F.col("doc_id")
     entries = _entries(spark, sf_dir).withColumn(
         "author", F.when(n % 2 == 0, F.concat(F.lit("u"), n.cast("string"))))
-    return listing.legacy_listing(entries).select(
+    return listing.legacy_listing(entries, _LEGACY_LIMIT).select(
         "id", "subreddit", "submission_datetime", "author")
 
 

@@ -78,7 +78,7 @@ classed AS (
 
 STATUS = """status AS (
   SELECT CAST(doc_id AS VARCHAR) AS id,
-         CASE WHEN doc_id % 29 = 0 THEN 'something_new' WHEN toxic = 1 THEN 'moderator'
+         CASE WHEN doc_id % 29 = 0 THEN 'quarantined' WHEN toxic = 1 THEN 'moderator'
               WHEN quality = 0 THEN 'deleted' END AS removed_by_category
   FROM labels WHERE doc_id % 23 <> 0)"""
 

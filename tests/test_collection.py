@@ -175,29 +175,31 @@ def test_label_stream(spark, tmp_path):
     assert got == {"p0": "removed_by_moderation", "p1": "kept", "p2": "missing"}
 
 
-def test_submission_stream_to_prepared_files(spark, tmp_path):
-    """Landing files to store to prepared data set, with moderator and leaking comments."""
-    comments = lambda sub: [                                                 # noqa: E731
-        ("Mind the tide tables before posting", 1, "AutoModerator", True, "moderator"),
-        (f"moved here from /r/{sub} because this subreddit answers", 5, "gull", False, None),
-        ("the harbour wall held up", 3, "tern", False, None)]
-    rows = [(f"{sub}{i}", sub, f"{sub} logbook page {i}", "", 1, 3, 1.6e9 + i * 60, .9, None,
-             True, "", "", False, False, comments(sub))
-            for sub in ("dinghies", "lighthouses") for i in range(20)]
-    spark.createDataFrame(rows, SUBMISSION).coalesce(1).write.json(str(tmp_path / "landing"))
-    jobs.submission_stream(spark, tmp_path / "landing", tmp_path / "store", tmp_path / "cp",
-                           lambda: NOW, comments_per_post=10).awaitTermination(120)
-    prepared = prep.prepare(snapshots.scan_snapshots(spark, tmp_path / "store"),
-                            include_comments=True)
+def test_landed_records_become_training_text(spark, tmp_path):
+    """Three landings, one of them a repeat, of communities of unequal size; text is looked at by post."""
+    def record(name, community, born, title, body, *comments):
+        return (name, community, title, body, 7, len(comments), born, .5, "News", False, "", "", False, False,
+                list(comments))
+    said = lambda body, author="wren", stickied=False: (body, 2, author, stickied, None)      # noqa: E731
+    kiln = [record(f"k{i}", "kiln", 1.61e9 + 3600 * i, f"firing number {i}", "cone six held",
+                   said(f"glaze {i} crawled"), said("[deleted]"), said("beep", "sortingBot")) for i in range(9)]
+    loom = [record(f"l{i}", "loom", 1.61e9 + 7200 * i, f"warp number {i}", "", said("weekly thread", stickied=True))
+            for i in range(4)]
+    same = [record("k90", "kiln", 1.62e9, "Shared question!", "x"), record("l90", "loom", 1.62e9, "shared   QUESTION", "y")]
+    for rows in (kiln[:5] + loom, kiln[:5], kiln[5:] + same):
+        spark.createDataFrame(rows, SUBMISSION).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        jobs.submission_stream(spark, tmp_path / "in", tmp_path / "store", tmp_path / "cp", lambda: NOW,
+                               comments_per_post=2).awaitTermination(120)
+    assert len(stored_ids(spark, tmp_path / "store")) == 15
+    prepared = prep.prepare(snapshots.scan_snapshots(spark, tmp_path / "store"), include_comments=True)
     report = prepared.report.first()
-    assert (report.input_posts, report.comments_kept, report.comments_bot) == (40, 80, 40)
+    # the third comment of a kiln post is beyond what is taken; the shared title drops both its posts
+    assert report.comments_kept == 9 and report.input_posts == 15
     target = outputs.write_prepared(prepared, tmp_path / "prepared")
-    assert target.endswith(report.data_hash)
-    train = outputs.read_prepared(spark, target, "train")
-    text = " ".join(r.text for r in train.collect())
-    assert "the harbour wall held up" in text and "tide tables" not in text and "r/" not in text
-    document = spark.read.json(f"{target}/report").first()
-    assert document.report[0].output_posts == 40
+    text = {r.id: r.text for part in ("train", "test") for r in outputs.read_prepared(spark, target, part).collect()}
+    assert set(text) == {f"k{i}" for i in range(9)} | {f"l{i}" for i in range(4)}
+    assert all(f"glaze {i} crawled" in text[f"k{i}"] and "beep" not in text[f"k{i}"] for i in range(9))
+    assert all("weekly" not in text[f"l{i}"] and f"warp number {i}" in text[f"l{i}"] for i in range(4))
 
 
 def test_sample_is_fixed_on_first_use(spark, tmp_path):

@@ -163,7 +163,7 @@ def test_curve_and_comparison_fit_every_training_row(corpus, monkeypatch):
     monkeypatch.setattr(linear, "fit_one", spy)
     monkeypatch.setattr(models, "MAX_FIT_ROWS", 20)
     models.learning_curve(corpus, (.5, 1.0), 2, max_iter=3)
-    models.compare_learners(corpus, 2, learners=("logistic",), max_iter=3)
+    models.compare_learners(corpus, 2, learners=("logistic",), logistic={"max_iter": 3})
     assert sorted(fitted) == sorted([30, 60, 30, 60, 60, 60])
 
 

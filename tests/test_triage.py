@@ -35,7 +35,7 @@ def test_outcome_table(spark):
     cases = {None: "kept", "moderator": "removed_by_moderation",
              "automod_filtered": "removed_by_moderation", "reddit": "removed_by_moderation",
              "deleted": "deleted_by_author", "author": "deleted_by_author",
-             "something_new": "other:something_new"}
+             "quarantined": "other:quarantined"}
     df = spark.createDataFrame([(c,) for c in cases], "c string")
     got = {r.c: r.o for r in df.select("c", lab.outcome(F.col("c")).alias("o")).collect()}
     assert got == cases

@@ -1 +1,7 @@
 """Community-post triage analytics as Spark DataFrame jobs."""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel by value, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.functions import numeric, text as tx
 from tidewatch.operators import linear, metrics, vectors
+from tidewatch.operators.vectors import hashes_of
 from tidewatch.operators.features import (
     document_terms, join_vocabulary, smooth_idf, sublinear)
 from tidewatch.plans.ranking import rank_within
@@ -111,7 +112,7 @@ def _places(space):
 
     def run(batches):
         for batch in batches:
-            at = np.searchsorted(held.value, vectors.hashes_of(pa.Table.from_batches([batch])))
+            at = np.searchsorted(held.value, hashes_of(pa.Table.from_batches([batch])))
             yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(at)], ["term", "idx"])
     return run
 
@@ -292,6 +293,15 @@ def _folded(df, k, seeds, label):
     return settle(folds)
 
 
+def cv_fit_report(df, k=5, seed=0, label="subreddit", text="text", bigrams=True, max_fit_rows=MAX_FIT_ROWS,
+                  min_df=2, **solver):
+    """How the logistic fits of a cross-validation end (`linear.fit_report`)."""
+    docs = df.select("id", text).join(_folded(df, k, [seed], label), "id")
+    space = _logistic_space(docs, [F.col("fold_0") != i for i in range(k)], "label", max_fit_rows, min_df,
+                            text, bigrams)
+    return linear.fit_report(space, **solver)
+
+
 def _logistic_runs(df, k, seeds, label, text, bigrams, with_train, max_fit_rows=MAX_FIT_ROWS, min_df=2,
                    **solver):
     """(seed number, model, id, label, fold, probability, predicted, confidence) of all folds of all seeds,
@@ -384,12 +394,14 @@ def ablation(df, pattern, k=5, seeds=range(5), text="text", cv=None, **options):
                      (of("whole") - of("stripped")).alias("ablation_drop"))
 
 
-def compare_learners(df, k=5, seed=42, learners=LEARNERS, **options):
-    """Test and train scores of each learner under the same folds, each fitted on all training rows."""
-    options["max_fit_rows"] = None                           # else the train side holds unseen rows
+def compare_learners(df, k=5, seed=42, learners=LEARNERS, logistic=None, **options):
+    """Test and train scores of each learner under the same folds, each fitted on all training rows.
+
+    `logistic` has options of its solver."""
+    own = {"logistic": {"max_fit_rows": None, **(logistic or {})}}   # else the train side holds unseen rows
     table = None
     for learner in learners:
-        scored = cross_validated(df, k, seed, with_train=True, learner=learner, **options)
+        scored = cross_validated(df, k, seed, with_train=True, learner=learner, **own.get(learner, {}), **options)
         side = F.when(F.col("fold") == F.col("model"), "test").otherwise("train")
         scores = fold_scores(scored.withColumn("side", side), ["model", "side"])
 

@@ -134,17 +134,18 @@ class ScoringTable:
         coef[model, :, at] = rows.column("coef").combine_chunks().flatten().to_numpy().reshape(-1, bias.shape[1])
         return cls(hashes, idf, coef, bias)
 
-    def probabilities(self, doc, at, n, model):
-        """Of documents with the terms (doc, at, n), each by the model of that number."""
-        own = model[doc]
-        w = (1.0 + np.log(n)) * self.idf[own, at]
-        norm = np.sqrt(np.bincount(doc, w * w, len(model)))
-        scores = self.bias[model].copy()
-        for c in range(scores.shape[1]):
-            total = np.bincount(doc, w * self.coef[own, c, at], len(model))
-            scores[:, c] += np.divide(total, norm, out=np.zeros(len(model)), where=norm > 0)
-        scores = np.exp(scores - scores.max(axis=1, keepdims=True))
-        return scores / scores.sum(axis=1, keepdims=True)
+
+def _probabilities(idf, coef, bias, doc, at, n, model):
+    """Of documents with the terms (doc, at, n), each by the model of that number."""
+    own = model[doc]
+    w = (1.0 + np.log(n)) * idf[own, at]
+    norm = np.sqrt(np.bincount(doc, w * w, len(model)))
+    scores = bias[model].copy()
+    for c in range(scores.shape[1]):
+        total = np.bincount(doc, w * coef[own, c, at], len(model))
+        scores[:, c] += np.divide(total, norm, out=np.zeros(len(model)), where=norm > 0)
+    scores = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return scores / scores.sum(axis=1, keepdims=True)
 
 
 def table_bytes(n_models, n_terms, n_classes):
@@ -155,17 +156,18 @@ def class_probabilities(table, df, text="text", bigrams=True, own=None):
     """`df` without its text and with `model` and `probability`: one row for the model that the integer
     column `own` names, or one for every model."""
     others = [c for c in df.columns if c != text]
-    held = df.sparkSession.sparkContext.broadcast(table)
+    held = df.sparkSession.sparkContext.broadcast((table.hashes, table.idf, table.coef, table.bias))
 
     def run(batches):
-        known = held.value
+        hashes, *weights = held.value
+        n_models = len(weights[-1])
         for batch in batches:
             for rows, words, starts in _slices(batch):
-                terms = counted_terms(known.hashes, words, starts, bigrams)
+                terms = counted_terms(hashes, words, starts, bigrams)
                 chosen = ([rows.column(own).to_numpy().astype(np.int64)] if own is not None else
-                          [np.full(rows.num_rows, m) for m in range(len(known.bias))])
+                          [np.full(rows.num_rows, m) for m in range(n_models)])
                 for model in chosen:
-                    scores = known.probabilities(*terms, model)
+                    scores = _probabilities(*weights, *terms, model)
                     lists = pa.ListArray.from_arrays(
                         pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel()))
                     yield pa.RecordBatch.from_arrays([*map(rows.column, others), pa.array(model.astype(np.int32)), lists],
