@@ -120,12 +120,12 @@ def stratified_folds(spark, sf_dir):
 
 @query("stratified_folds_by_digits", f"WITH {_FOLDS} SELECT id, subreddit, fold FROM folds")
 def stratified_folds_by_digits(spark, sf_dir):
-    """The way taken when the rows are too many for one task."""
+    """The same ranks by the digits of the hash, as groups of any size are ranked."""
     from tidewatch.functions import numeric
     from tidewatch.plans.ranking import rank_within
     docs = corpus(spark, sf_dir).select(
-        "id", "subreddit", numeric.seeded_hash(F.col("id"), 0).alias("h"))
-    ranked = rank_within(docs, [], [F.col("subreddit"), *numeric.hash_digits(F.col("h"))],
+        "id", "subreddit", F.lit(1).alias("one"), numeric.seeded_hash(F.col("id"), 0).alias("h"))
+    ranked = rank_within(docs, ["one"], [F.col("subreddit"), *numeric.hash_digits(F.col("h"))],
                          [F.col("subreddit"), F.col("h"), F.col("id")], "rank", window_limit=0)
     return ranked.select("id", "subreddit",
                          F.pmod(F.col("rank") - 1, F.lit(5)).cast("int").alias("fold"))

@@ -1,12 +1,15 @@
 """Classification metrics and resampling, each from one aggregation to few cells."""
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import functions as F, types as T
 
 from tidewatch.functions.numeric import double_digits, nan_if_null, share
 from tidewatch.plans.ranking import running_totals
 
 N_BOOTSTRAP = 2000
+GROUPS_AT_ONCE = 1000            # whose replicates a task holds: 32 KB each
 
 
 def majority_rate(df, label="subreddit"):
@@ -119,29 +122,62 @@ def cohen_kappa(df, a, b, group=()):
 
 # --- bootstrap ----------------------------------------------------------------
 
-def _poisson_draws(replicates):
-    """A function of (count, key): one Poisson(count) draw per replicate, seeded by the key."""
-    @F.pandas_udf("array<long>")
-    def draws(n: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(k % 2 ** 64).poisson(m, replicates)
-                          for m, k in zip(n.tolist(), key.tolist())])
-    return draws
+def _resampled(group, replicates):
+    """A mapInArrow function: per group of a task the sums of weights and of weighted values of every
+    replicate, one row each."""
+    def run(batches):
+        held = {}
+
+        def rows():
+            keys = list(zip(*held)) if group else []
+            sums = np.concatenate(list(held.values()))
+            lists = pa.ListArray.from_arrays(np.arange(len(held) + 1, dtype=np.int32) * 2 * replicates, pa.array(sums))
+            columns = [pa.array(k, t) for k, t in zip(keys, types)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*columns, lists], [*group, "sums"])
+
+        for batch in batches:
+            types = [batch.schema.field(g).type for g in group]
+            names = list(zip(*[batch.column(g).to_pylist() for g in group])) or [()] * batch.num_rows
+            for name, *cell in zip(names, *(batch.column(c).to_pylist() for c in ("v", "n", "_seed"))):
+                v, n, key = cell
+                # seeded by the cell, so that a draw does not depend on the task it is made in
+                w = np.random.default_rng(key % 2 ** 64).poisson(n, replicates)
+                if name not in held:
+                    held[name] = np.zeros(2 * replicates)
+                held[name][:replicates] += w
+                held[name][replicates:] += w * v
+                if len(held) > GROUPS_AT_ONCE:
+                    yield rows()
+        if held:
+            yield rows()
+    return run
+
+
+def _quantile(ordered, q):
+    """The interpolated quantile of a sorted array."""
+    at = q * (F.size(ordered) - 1)
+    low = F.get(ordered, F.floor(at).cast("int"))
+    return low + (F.get(ordered, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
 
 
 def bootstrap_ci(df, value, group=(), replicates=N_BOOTSTRAP, seed=42):
     """95% percentile interval of the mean under Poisson resampling.
 
     Rows with equal values are exchangeable, so they are counted first, and as a sum of n unit draws
-    is a Poisson(n) draw, each replicate needs one exact draw per (group, value).
+    is a Poisson(n) draw, each replicate needs one exact draw per (group, value). A task adds up the
+    replicates of a group, so what is shuffled is one vector a group and task.
     """
+    group = list(group)
     cells = (df.where(F.col(value).isNotNull())
              .groupBy(*group, F.col(value).cast("double").alias("v"))
              .agg(F.count(F.lit(1)).alias("n")))
-    key = F.xxhash64(F.lit(seed), *[F.col(g) for g in group], F.col("v"))
-    drawn = cells.select(*group, "v", F.posexplode(
-        _poisson_draws(replicates)(F.col("n"), key)).alias("replicate", "w"))
-    means = drawn.groupBy(*group, "replicate").agg(
-        share(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
-    return means.groupBy(*group).agg(
-        F.percentile("mean", F.lit(0.025)).alias("ci_low"),
-        F.percentile("mean", F.lit(0.975)).alias("ci_high"))
+    keyed = cells.withColumn("_seed", F.xxhash64(F.lit(seed), *[F.col(g) for g in group], F.col("v")))
+    schema = T.StructType([cells.schema[g] for g in group] + [T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    drawn = keyed.mapInArrow(_resampled(group, replicates), schema)
+    added = drawn.groupBy(*group).agg(Summarizer.sum(array_to_vector("sums")).alias("_v")).select(
+        *group, vector_to_array("_v").alias("_v"))
+    means = F.zip_with(F.slice("_v", replicates + 1, replicates), F.slice("_v", 1, replicates), F.try_divide)
+    ordered = added.where(F.col("_v").isNotNull()).select(*group, F.sort_array(F.array_compact(means)).alias("_means"))
+    return ordered.select(*group, _quantile(F.col("_means"), 0.025).alias("ci_low"),
+                          _quantile(F.col("_means"), 0.975).alias("ci_high"))

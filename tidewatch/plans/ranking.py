@@ -8,6 +8,7 @@ rows equal in every digit meet in one task.
 from pyspark.sql import Window, functions as F
 
 from tidewatch.plans.skew import join_keys
+from tidewatch.session import settle
 
 # Rows of one group that may be sorted in one task.
 WINDOW_LIMIT = 1_000_000
@@ -49,11 +50,29 @@ def running_totals(cells, group, digits, measures, order):
     return above.drop(*names)
 
 
+def rank_all(df, order, alias="rn"):
+    """`row_number()` over all rows: they are dealt by ranges of the order, numbered within each, and
+    the sizes of the ranges before are added. One number a range comes to the driver."""
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settle(sorted_rows.withColumn("_at", F.monotonically_increasing_id()))
+    in_range = F.shiftright("_at", 33)                       # how these ids are made up
+    before, offsets = 0, []
+    for row in sorted(placed.groupBy(in_range.alias("range")).count().collect()):
+        offsets.append((row["range"], before))
+        before += row["count"]
+    ranges = df.sparkSession.createDataFrame(offsets, "_range long, _before long")
+    return placed.join(F.broadcast(ranges), in_range == F.col("_range")).withColumn(
+        alias, F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1).drop("_at", "_range", "_before")
+
+
 def rank_within(df, group, digits, order, alias="rn", window_limit=WINDOW_LIMIT):
     """`row_number()` over (group order by order); `digits` are coarser views of the same order.
 
-    The digits are only used when some group exceeds `window_limit`.
+    The digits are only used when some group exceeds `window_limit`; without a group rows are ranked
+    by ranges (`rank_all`).
     """
+    if not group:
+        return rank_all(df, order, alias)
     if largest_group(df, group) <= window_limit:
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(alias, F.row_number().over(window).cast("long"))
