@@ -84,6 +84,13 @@ def test_counts_in_the_task_are_those_of_the_terms(spark, tmp_path, bigrams):
     assert sorted(r.id for r in rows) == list(range(len(texts)))
 
 
+def test_weights_are_the_same_on_both_paths(corpus):
+    inside, joined = (features.tfidf_of(corpus, broadcast_bytes=b) for b in (vectors.BROADCAST_BYTES, 0))
+    assert "Exchange" not in inside._jdf.queryExecution().executedPlan().toString()
+    rows = [sorted((r.id, r.term, round(r.weight, 12)) for r in df.collect()) for df in (inside, joined)]
+    assert rows[0] == rows[1] and len(rows[0]) > 500
+
+
 def test_scoring_neither_explodes_nor_shuffles(corpus):
     fitted = models.fit(corpus)
     plan = models.predict_proba(fitted, corpus)._jdf.queryExecution().executedPlan().toString()

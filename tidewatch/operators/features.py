@@ -4,6 +4,8 @@ import math
 from pyspark.sql import Window, functions as F
 
 from tidewatch.functions import text as tx
+from tidewatch.operators import vectors
+from tidewatch.session import settle
 
 # Terms of more than one document in a thousand. The documents' distinct terms add up to at least
 # n/1000 for each of them, so there are at most a thousand times as many as an average document has.
@@ -89,6 +91,12 @@ def tfidf(terms, vocab, doc="id"):
     return raw.select(doc, "term", (F.col("_w") / norm).alias("weight"))
 
 
-def tfidf_of(df, doc="id", text="text", min_df=2, bigrams=True):
+def tfidf_of(df, doc="id", text="text", min_df=2, bigrams=True, broadcast_bytes=vectors.BROADCAST_BYTES):
+    """TF-IDF weights of texts; inside the task while the counted bytes of the vocabulary are within
+    `broadcast_bytes`, else by a join of its terms and a norm by document."""
     terms = document_terms(df.select(doc, text), text, bigrams)
-    return tfidf(terms, vocabulary(terms, df.count(), min_df), doc)
+    vocab = settle(vocabulary(terms, df.count(), min_df))
+    size = vocab.agg(F.sum(F.octet_length("term") + 24)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return vectors.normalised_weights(df, vocab, doc, text, bigrams)
+    return tfidf(terms, vocab, doc)

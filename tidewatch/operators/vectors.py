@@ -111,6 +111,33 @@ def count_vectors(df, hashes, folder, text="text", bigrams=True):
     return spark.read.schema(T.StructType(schema.fields[:-1] + [T.StructField("v", VectorUDT())])).parquet(folder)
 
 
+# ---------------------------------------------------------------- weights
+
+def normalised_weights(df, vocab, doc="id", text="text", bigrams=True):
+    """(doc, term, weight): L2-normalised TF-IDF weights of the terms in `vocab` (term, idf), which is
+    broadcast as arrays; a document's weights are complete where it is read."""
+    rows = vocab.select("term", "idf", *term_parts(F.col("term"))).toArrow()
+    found = hashes_of(rows)
+    order = np.argsort(found, kind="stable")
+    held = df.sparkSession.sparkContext.broadcast((
+        found[order], rows.column("idf").to_numpy()[order],
+        rows.column("term").combine_chunks().take(pa.array(order))))
+
+    def run(batches):
+        hashes, idf, terms = held.value
+        for batch in batches:
+            for some, words, starts in _slices(batch):
+                row, at, n = counted_terms(hashes, words, starts, bigrams)
+                w = (1.0 + np.log(n)) * idf[at]
+                norm = np.sqrt(np.bincount(row, w * w, some.num_rows))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(doc).take(pa.array(row)), terms.take(pa.array(at)), pa.array(w / norm[row])],
+                    [doc, "term", "weight"])
+
+    schema = T.StructType([df.schema[doc], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    return df.select(doc, hashed_words(F.col(text)).alias("_words")).mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- scoring
 
 @dataclass
