@@ -3,7 +3,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import join_counted, written
+from tidewatch.llm.shared import join_counted, release_memory, written
 
 TASKS_A_BLOCK = 4            # tasks for each block's worth of weight
 
@@ -87,6 +87,8 @@ def link_within(rows, make_linker, payload, block_weight):
         pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
         roots, members = forest(len(pdf), make_linker(pdf))
         ids = pdf["id"].to_numpy()
+        if len(pdf) > 500:
+            release_memory()
         return pd.DataFrame({"a": ids[roots], "b": ids[members]}, columns=["a", "b"])
 
     first = written(dealt.repartition(tasks, "group", "block").groupBy("group", "block").applyInPandas(

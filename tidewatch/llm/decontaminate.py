@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import SHINGLE_WORDS, alnum_words, mix, shingle_hashes, text_of, written
+from tidewatch.llm.shared import batches_released, SHINGLE_WORDS, alnum_words, mix, shingle_hashes, text_of, written
 
 FUNCTIONS = 64
 LEAST_SIZE = 8               # items of up to so many shingles are searched exactly
@@ -84,7 +84,7 @@ def minima_keys(minima, width, partition):
 def item_rows(benchmark, contained=CONTAINED):
     """Items with words: item_id, row key, width, partition, shingles (distinct) and keys."""
     def rows(batches):
-        for batch in batches:
+        for batch in batches_released(batches):
             out = []
             for name, text in zip(batch.column("item_id").to_pylist(), batch.column("text")):
                 words = alnum_words(text.as_py())
@@ -142,7 +142,7 @@ def candidates(docs, table, kinds):
             return bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
 
         largest = {w: max(p for v, p in kinds if v == w) for w, _ in kinds}
-        for batch in batches:
+        for batch in batches_released(batches):
             out = []
             for name, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(),
                                         batch.column("text")):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewatch.llm import logit
-from tidewatch.llm.shared import text_of, word_hashes, written
+from tidewatch.llm.shared import batches_released, text_of, word_hashes, written
 
 MAX_LABELLED = 20_000
 ROUNDS = 4
@@ -199,7 +199,7 @@ def _both(batch):
 def document_features(docs):
     """doc_id, written and stated (columns of language and source, then numbers), one row an id."""
     def features(batches):
-        for batch in batches:
+        for batch in batches_released(batches):
             text = [text_features(t) for t in batch.column("text").to_pylist()]
             short = []
             for lang, source, n_chars in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars"))):
@@ -219,7 +219,7 @@ def summed(table, vector):
     no rows."""
     def sums(batches):
         total = None
-        for batch in batches:
+        for batch in batches_released(batches):
             if batch.num_rows:
                 one = vector(_both(batch))
                 total = one if total is None else total + one
@@ -269,7 +269,7 @@ def fit(docs, labels, max_labelled=MAX_LABELLED):
 def score(docs, model, keep=KEEP):
     """doc_id, p_text, p_metadata, score and kept for every row of `docs`."""
     def apply(batches):
-        for batch in batches:
+        for batch in batches_released(batches):
             n = batch.num_rows
             if model is None:
                 columns = [np.ones(n)] * 3
@@ -292,7 +292,7 @@ def keep_good(docs, labels, keep=KEEP):
 
     def stay(batches):
         at = {c: names.index(c) for c in ("text", "lang", "source", "n_chars")}
-        for batch in batches:
+        for batch in batches_released(batches):
             (first, second), prior = model
             texts = pa.array([t or "" for t in batch.column(at["text"]).to_pylist()], pa.string())
             view = pa.RecordBatch.from_arrays(

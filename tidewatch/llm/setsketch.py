@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components, link_within
-from tidewatch.llm.shared import join_counted, mix, shingle_hashes, text_of, word_hashes, written
+from tidewatch.llm.shared import batches_released, join_counted, mix, shingle_hashes, text_of, word_hashes, written
 
 REGISTERS = 128
 BAND = 4                     # registers of a band; 32 bands miss a pair of 0.75 once in 190,000
@@ -85,7 +85,7 @@ def sketched(docs):
     id), and the sketch, null where this task has given it for the same key before."""
     def sketch(batches):
         functions, seen = _functions(), {}
-        for batch in batches:
+        for batch in batches_released(batches):
             keys, sizes, sketches = [], [], []
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 members = np.unique(shingle_hashes(word_hashes(text.as_py())))
@@ -112,7 +112,7 @@ def sketched(docs):
 def banded(classes):
     """(band, id) per class and band."""
     def bands(batches):
-        for batch in batches:
+        for batch in batches_released(batches):
             keys = [band_keys(np.frombuffer(s, "<u2")) for s in batch.column("sketch").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.list_(pa.int64())), batch.column("set_key")], ["bands", "set_key"])

@@ -1,10 +1,12 @@
 """Helpers of these operators: written tables, word and shingle hashes, memoised tokenizers."""
+import ctypes
 import os
 import sys
 import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewatch.session import checkpoint_dir
@@ -65,6 +67,22 @@ def kept_by_worker(key, make):
     return holder[key]
 
 
+def batches_released(batches):
+    """`batches`, giving what earlier ones have freed back to the system: reused workers would keep it."""
+    for batch in batches:
+        yield batch
+        release_memory()
+    release_memory()
+
+
+def release_memory():
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):            # another C library
+        pass
+
+
 def text_of(column="text"):
     return F.coalesce(F.col(column), F.lit(""))
 
