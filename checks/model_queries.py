@@ -156,6 +156,54 @@ def naive_bayes(spark, sf_dir):
     return rounded(scored.select("id", "predicted", "confidence"), "confidence")
 
 
+_HELD_OUT = f"""WITH {_terms(_DOCS)}, {_FOLDS},
+model AS (SELECT unnest(range(5)) AS i),
+inside AS (SELECT i, id, subreddit FROM folds JOIN model ON fold <> i),
+size AS (SELECT i, count(*) AS n FROM inside GROUP BY i),
+known AS (SELECT i, term, ln((1.0::DOUBLE + max(n)) / (1 + count(*))) + 1 AS idf
+          FROM inside JOIN size USING (i) JOIN terms USING (id) GROUP BY i, term HAVING count(*) >= 2),
+raw AS (SELECT i, id, term, (1 + ln(tf::DOUBLE)) * idf AS w FROM terms JOIN known USING (term)),
+weights AS (SELECT i, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY i, id)) AS weight FROM raw),
+mass AS (SELECT i, subreddit, term, sum(weight) AS m FROM weights JOIN inside USING (i, id) GROUP BY ALL),
+totals AS (SELECT i, subreddit, sum(m) + max(v) AS total FROM mass
+           JOIN (SELECT i, count(*) AS v FROM known GROUP BY i) USING (i) GROUP BY i, subreddit),
+prior AS (SELECT i, subreddit, ln(count(*)::DOUBLE / max(n)) AS p FROM inside JOIN size USING (i) GROUP BY ALL),
+outside AS (SELECT fold AS i, id, subreddit AS label FROM folds),
+xsum AS (SELECT i, id, sum(weight) AS x FROM weights JOIN outside USING (i, id) GROUP BY ALL),
+gain AS (SELECT i, id, m.subreddit, sum(weight * ln(1 + m)) AS g FROM weights JOIN outside USING (i, id)
+         JOIN mass m USING (i, term) GROUP BY ALL),
+scores AS (SELECT o.i, o.id, label, p.subreddit, p.p - ln(t.total) * coalesce(x.x, 0) + coalesce(g.g, 0) AS s
+           FROM outside o JOIN prior p ON p.i = o.i JOIN totals t ON t.i = o.i AND t.subreddit = p.subreddit
+           LEFT JOIN xsum x ON x.i = o.i AND x.id = o.id
+           LEFT JOIN gain g ON g.i = o.i AND g.id = o.id AND g.subreddit = p.subreddit),
+shifted AS (SELECT *, s - max(s) OVER (PARTITION BY id) AS d FROM scores),
+judged AS (SELECT id, max(label) AS label, CAST(max(i) AS INTEGER) AS fold,
+                  min_by(subreddit, struct_pack(a := -d, b := subreddit)) AS predicted,
+                  1 / sum(exp(d)) AS confidence FROM shifted GROUP BY id)"""
+
+
+def _naive_bayes_runs(spark, sf_dir):
+    return models.oof_predictions(corpus(spark, sf_dir), 5, 0, learner="naive_bayes")
+
+
+@query("oof_naive_bayes", f"""{_HELD_OUT}
+SELECT id, label, fold, predicted, round(confidence, 6) AS confidence FROM judged""")
+def oof_naive_bayes(spark, sf_dir):
+    runs = _naive_bayes_runs(spark, sf_dir)
+    return rounded(runs.select("id", "label", "fold", "predicted", "confidence"), "confidence")
+
+
+@query("cv_naive_bayes", f"""{_HELD_OUT},
+per_fold AS (SELECT fold, avg(CASE WHEN predicted = label THEN 1.0::DOUBLE ELSE 0 END) AS accuracy
+             FROM judged GROUP BY fold)
+SELECT round(avg(accuracy), 9) AS cv_accuracy_mean, round(stddev_pop(accuracy), 9) AS cv_accuracy_std,
+       count(*) AS n_fits FROM per_fold""")
+def cv_naive_bayes(spark, sf_dir):
+    scores = models.summarised(models.fold_scores(_naive_bayes_runs(spark, sf_dir)))
+    return rounded(scores.select("cv_accuracy_mean", "cv_accuracy_std", "n_fits"),
+                   "cv_accuracy_mean", "cv_accuracy_std", digits=9)
+
+
 @query("logistic_batch_scoring")
 def logistic_batch_scoring(spark, sf_dir):
     """Fits on the labelled documents only and scores all of them."""
