@@ -3,16 +3,22 @@
 All column functions, row by row: no shuffle, no Python. Matches are found by marking them with a
 character that no pattern can match and splitting there, so that positions are running lengths in
 code points. The entropy of a window moves along a candidate by incremental counts: one character
-leaves, one enters, and the sum of c*log2(c) over the counts changes by their two terms.
+leaves, one enters, and the sum of c*log2(c) over the counts changes by their two terms. The counts
+of a class's characters lie packed in a few longs, so that a step adds and subtracts two numbers;
+the sum is kept in whole units of 2^-40, so that it does not drift however long the candidate is.
 
-A candidate is a maximal run of a class's characters. It counts when some window reaches the class's
-entropy, it does not overlap a pattern match, nothing in the allow list matches it, and no class
-before it claimed the place; the span runs from the first such window to the end of the last.
+A candidate is a maximal run of a class's characters. A window of it counts when it reaches the
+class's entropy and shares no character with a blocked place: a match of the fixed patterns, a span
+of a class before, or a match of the allow list inside the run. Blocked places cut a run; each piece
+between them with a window that counts gives one span, from the first such window to the end of the
+last.
 
 Defined cases: null text is empty and gives no span, counts 0 and the hash of the empty string. Very
-long texts take the same path. Repeated rows give repeated results; other columns are not looked at.
+long texts and candidates take the same path. Repeated rows give repeated results; other columns are
+not looked at.
 """
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -28,9 +34,10 @@ HEX = ("[0-9a-f]+", 0, 16)
 # Classes of candidates: kind, characters, least length, window, least entropy in bits.
 CLASSES = (("entropy_hex", "0-9A-Fa-f", 20, 16, 3.0), ("entropy_base64", "A-Za-z0-9+/_=-", 24, 24, 4.0))
 
-# Candidates that match one of these are not reported.
-ALLOWED = ("(?i)example", "(?i)placeholder", "(?i)abcdefgh", "01234567", "(.)\\1{5}",
-           "^[A-Za-z]?[a-z]*([-_/][A-Za-z]?[a-z]*)*$")
+# Places of a candidate that match one of these are not reported; the first matches only whole runs,
+# which are words joined by hyphens, underscores or slashes.
+ALLOWED = ("^[A-Z]?[a-z]*+(?:[-_/][A-Z]?[a-z]*+)*+$", "(?i)example", "(?i)placeholder", "(?i)abcdefgh",
+           "01234567", "(.)\\1{5,}")
 
 _MARK, _OTHER = "\u0001", "\u0002"
 
@@ -71,61 +78,119 @@ def pattern_spans(text):
     return assign, access, hexes
 
 
-def _term(n):
-    return F.when(n <= 1, F.lit(0.0)).otherwise(n * F.log2(n.cast("double")))
-
-
-def entropy_range(text, window, least):
-    """(first start, last end) in `text` of the windows with at least that entropy; first < 0: none.
-
-    The state is the counts by character code, the sum of c*log2(c), and the two ends."""
-    limit = (math.log2(window) - least) * window + 1e-9      # of the sum, for a window that counts
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).cast("double").alias("sum"),
-                     F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-
-    def step(codes, state, i):
-        entering = F.element_at(codes, i)
-        leaving = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(-1)
-        had = F.element_at(state["n"], F.greatest(leaving, F.lit(0)) + 1)
-        less = F.when(leaving < 0, state["sum"]).otherwise(state["sum"] - _term(had) + _term(had - 1))
-        before = F.element_at(state["n"], entering + 1) - F.when(leaving == entering, 1).otherwise(0)
-        total = less - _term(before) + _term(before + 1)
-        counts = F.transform(state["n"], lambda v, k: v + F.when(k == entering, 1).otherwise(0)
-                             - F.when(k == leaving, 1).otherwise(0))
-        hit = (i >= window) & (total <= limit)
-        first = F.when(hit & (state["first"] < 0), i - window).otherwise(state["first"])
-        return F.struct(counts.alias("n"), total.alias("sum"), first.alias("first"),
-                        F.when(hit, i).otherwise(state["last"]).alias("last"))
-
-    def over(codes):
-        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, lambda state, i: step(codes, state, i),
-                           lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
-
-    return bound(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c)), over)
-
-
-def _free(span, taken):
-    return ~F.exists(taken, lambda t: (t["s"] < span["e"]) & (span["s"] < t["e"]))
+def _blocked(run, taken, allowed):
+    """Places of a run where no window may lie, as disjoint ascending (s, e) within the run."""
+    places = F.transform(F.filter(taken, lambda t: (t["s"] < run["e"]) & (run["s"] < t["e"])), lambda t: F.struct(
+        (t["s"] - run["s"]).alias("s"), (t["e"] - run["s"]).alias("e")))
+    for pattern in allowed:
+        found = _matches(run["t"], KINDS[0], pattern, lambda p: F.lit(True))
+        places = F.concat(places, F.transform(found, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))))
+    none = F.from_json(F.lit("[]"), "array<struct<s:int,e:int>>")
+    start = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), none.alias("out"))
+
+    def done(state):
+        return F.array_append(state["out"], F.struct(state["s"].alias("s"), state["e"].alias("e")))
+
+    def merge(state, place):
+        apart = place["s"] > state["e"]
+        return F.struct(F.when(apart, place["s"]).otherwise(state["s"]).alias("s"),
+                        F.greatest(state["e"], place["e"]).alias("e"),
+                        F.when(apart, done(state)).otherwise(state["out"]).alias("out"))
+
+    return F.filter(F.aggregate(F.array_sort(places), start, merge, done), lambda b: b["e"] > 0)
+
+
+_UNIT = 1 << 40
+
+
+def entropy_ranges(text, blocked, characters, window, least):
+    """(first, last) of every unblocked piece of `text` that has a window with at least that entropy:
+    where the first such window starts and the last one ends.
+
+    The state is the packed counts, the sum of c*log2(c), the number of unblocked characters up to
+    here, the next blocked place, and the range of the piece."""
+    alphabet = "".join(c for c in map(chr, range(128)) if re.fullmatch(f"[{characters}]", c))
+    bits = window.bit_length()
+    a_long = 63 // bits
+    names = [f"n{i}" for i in range(-(-len(alphabet) // a_long))]
+    terms = F.array(*[F.lit(round(n * math.log2(n) * _UNIT) if n else 0).cast("long") for n in range(window + 1)])
+    limit = round(((math.log2(window) - least) * window + 1e-9) * _UNIT)   # of the sum, for a window that counts
+    none = F.from_json(F.lit("[]"), "array<struct<first:int,last:int>>")
+
+    def slot(character):
+        at = F.call_function("instr", F.lit(alphabet), character) - 1
+        shift = (at % a_long * bits).cast("int")
+        return F.struct(F.floor(at / a_long).cast("int").alias("n"), shift.alias("shift"),
+                        F.call_function("shiftleft", F.lit(1).cast("long"), shift).alias("one"))
+
+    def held(state, place):
+        packed = state[names[0]]
+        for i, name in enumerate(names[1:], 1):
+            packed = F.when(place["n"] == i, state[name]).otherwise(packed)
+        return F.call_function("shiftright", packed, place["shift"]).bitwiseAND((1 << bits) - 1).cast("int")
+
+    def term(n):
+        return F.element_at(terms, n + 1)
+
+    def ended(state):
+        span = F.struct(state["first"].alias("first"), state["last"].alias("last"))
+        return F.when(state["first"] >= 0, F.array_append(state["out"], span)).otherwise(state["out"])
+
+    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in (*names, "sum")], F.lit(0).alias("clear"),
+                     F.lit(0).alias("next"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), none.alias("out"))
+
+    def counted(slots, state, i):
+        """What enters and leaves at character `i`, with the counts that they change."""
+        leaves, enters = F.element_at(slots, F.greatest(i - window, F.lit(1))), F.element_at(slots, i)
+        return F.struct(leaves.alias("leaves"), enters.alias("enters"), (i > window).alias("full"),
+                        held(state, leaves).alias("had"), held(state, enters).alias("has"),
+                        F.get(blocked, state["next"]).alias("block"))
+
+    def moved(state, now):
+        out = F.when(now["full"], term(now["had"]) - term(now["had"] - 1)).otherwise(F.lit(0).cast("long"))
+        same = now["full"] & (now["leaves"]["n"] == now["enters"]["n"]) & (now["leaves"]["shift"] == now["enters"]["shift"])
+        before = now["has"] - F.when(same, 1).otherwise(0)
+        return state["sum"] - out + term(before + 1) - term(before)
+
+    def step(slots, state, i):
+        def change(now):
+            inside = F.coalesce((now["block"]["s"] < i) & (i <= now["block"]["e"]), F.lit(False))
+            through = F.coalesce(now["block"]["e"] == i, F.lit(False))
+            known = F.struct(moved(state, now).alias("sum"), inside.alias("inside"),
+                             F.when(inside, 0).otherwise(state["clear"] + 1).alias("clear"))
+
+            def result(here):
+                hit = (here["clear"] >= window) & (here["sum"] <= limit)
+                packed = [(state[name]
+                           + F.when(now["enters"]["n"] == k, now["enters"]["one"]).otherwise(0)
+                           - F.when(now["full"] & (now["leaves"]["n"] == k), now["leaves"]["one"]).otherwise(0)
+                           ).alias(name) for k, name in enumerate(names)]
+                first = F.when(hit & (state["first"] < 0), i - window).otherwise(state["first"])
+                return F.struct(
+                    *packed, here["sum"].alias("sum"), here["clear"].alias("clear"),
+                    (state["next"] + F.when(through, 1).otherwise(0)).alias("next"),
+                    F.when(here["inside"], -1).otherwise(first).alias("first"),
+                    F.when(here["inside"], -1).when(hit, i).otherwise(state["last"]).alias("last"),
+                    F.when(here["inside"], ended(state)).otherwise(state["out"]).alias("out"))
+            return bound(known, result)
+        return bound(counted(slots, state, i), change)
+
+    def over(slots):
+        return F.aggregate(F.sequence(F.lit(1), F.size(slots)), start, lambda state, i: step(slots, state, i), ended)
+
+    return bound(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), slot), over)
 
 
 def entropy_spans(text, taken, kind, characters, shortest, window, least, allowed=ALLOWED):
     """Spans of one class of candidates that overlap none of `taken`."""
     runs = _matches(text, kind, f"[{characters}]{{{shortest},}}", lambda p: F.lit(True))
-
-    def suppressed(span):
-        found = F.lit(False)
-        for pattern in allowed:
-            found = found | span["t"].rlike(pattern)
-        return found
-
-    runs = F.filter(runs, lambda s: ~suppressed(s) & _free(s, taken))
-    with_range = F.transform(runs, lambda s: F.struct(
-        s.alias("run"), entropy_range(s["t"], window, least).alias("range")))
-    hits = F.filter(with_range, lambda x: x["range"]["first"] >= 0)
-    return F.transform(hits, lambda x: F.struct(
-        (x["run"]["s"] + x["range"]["first"]).cast("int").alias("s"), x["run"]["k"].alias("k"),
-        (x["run"]["s"] + x["range"]["last"]).cast("int").alias("e"),
-        F.substring(x["run"]["t"], x["range"]["first"] + 1, x["range"]["last"] - x["range"]["first"]).alias("t")))
+    with_blocks = F.transform(runs, lambda r: F.struct(r.alias("run"), _blocked(r, taken, allowed).alias("blocked")))
+    spans = F.transform(with_blocks, lambda x: F.transform(
+        entropy_ranges(x["run"]["t"], x["blocked"], characters, window, least), lambda g: F.struct(
+            (x["run"]["s"] + g["first"]).cast("int").alias("s"), x["run"]["k"].alias("k"),
+            (x["run"]["s"] + g["last"]).cast("int").alias("e"),
+            F.substring(x["run"]["t"], g["first"] + 1, g["last"] - g["first"]).alias("t"))))
+    return F.flatten(spans)
 
 
 def _joined(spans):
