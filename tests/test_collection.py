@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import listing, prepare as prep
 from tidewatch.schemas import ANSWER, LABEL, RAW_POST
-from tidewatch.sources import corpus, labels, outputs, snapshots
+from tidewatch.sources import commits, corpus, labels, outputs, snapshots
 from tidewatch.streaming import jobs
 
 NOW = 1_700_000_000.0
@@ -130,7 +130,7 @@ def test_an_append_run_twice_leaves_one_label_a_post(spark, tmp_path):
     raw = posts(spark, ["p0", "p1"]).withColumn("created_utc", F.lit(NOW - 72 * 3600))
     labels.record_labels(raw, spark.createDataFrame([], "id string, removed_by_category string"),
                          tmp_path / "labels", NOW)
-    torn = labels.read_or_empty(spark, tmp_path / "labels", LABEL)
+    torn = commits.read_committed(spark, tmp_path / "labels", LABEL)
     labels.append_labels(torn.where("id = 'p1'").withColumn("checked_utc", F.lit(NOW + 9)),
                          tmp_path / "labels")
     rows = labels.scan_labels(spark, tmp_path / "labels").collect()
@@ -161,6 +161,62 @@ def test_ingest_stream_stores_each_id_once_ever(spark, tmp_path):
     assert stored_ids(spark, store) == ["a", "b", "c", "d", "e"]
 
 
+@pytest.mark.parametrize("dies_at", ["posts", "ledger"])
+def test_a_killed_ingest_leaves_nothing_to_be_seen(spark, tmp_path, monkeypatch, dies_at):
+    """The run dies after writing its posts, or its ids too, before the log has it; its retry stores all."""
+    store = tmp_path / "raw"
+    snapshots.incremental_ingest(posts(spark, ["a", "b"]), store)
+    def killed(*_, **__):
+        raise KeyboardInterrupt
+    with monkeypatch.context() as patch:
+        if dies_at == "posts":
+            patch.setattr(commits.IdLedger, "append", killed)
+        else:
+            patch.setattr(snapshots, "commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            snapshots.incremental_ingest(posts(spark, ["b", "c", "d"]), store)
+    assert stored_ids(spark, store) == ["a", "b"]
+    again = snapshots.incremental_ingest(posts(spark, ["b", "c", "d"]), store, batch=7).collect()
+    assert [r.n for r in again] == [2] and stored_ids(spark, store) == ["a", "b", "c", "d"]
+    assert sorted((r.batch is None, r.n_rows) for r in commits.commits(spark, store).collect()) == [(False, 2), (True, 2)]
+
+
+def test_a_torn_label_append_is_not_seen(spark, tmp_path, monkeypatch):
+    raw = posts(spark, ["p0"]).withColumn("created_utc", F.lit(NOW - 72 * 3600))
+    status = spark.createDataFrame([("p0", "moderator")], "id string, removed_by_category string")
+    with monkeypatch.context() as patch:
+        patch.setattr(labels, "commit", lambda *_: None)
+        labels.record_labels(raw, status, tmp_path / "labels", NOW)
+    assert labels.scan_labels(spark, tmp_path / "labels").count() == 0
+    labels.record_labels(raw, status, tmp_path / "labels", NOW + 5)
+    assert [r.checked_utc for r in labels.scan_labels(spark, tmp_path / "labels").collect()] == [NOW + 5]
+
+
+def test_the_ledger_is_not_moved_and_small_batches_read_their_buckets(spark, tmp_path, monkeypatch):
+    store = tmp_path / "it's a store"
+    snapshots.incremental_ingest(posts(spark, [f"p{i}" for i in range(400)]), store)
+    spark.sql(f"DROP TABLE {commits.IdLedger(spark, store).name}")              # as in a new session
+    ledger = commits.IdLedger(spark, store, 999)
+    assert ledger.buckets == commits.LEAST_BUCKETS and ledger.known(posts(spark, ["p1", "q"])).count() == 1
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()        # noqa: E731
+    few = posts(spark, ["p1", "q"]).where("id = 'p1'")
+    assert "SelectedBucketsCount: 1 out of 16" in plan(few.join(ledger.known(few).hint("merge"), "id", "left_anti"))
+    monkeypatch.setattr(commits, "LITERAL_IDS", 2)
+    batch = spark.range(1000).selectExpr("concat('p', id) AS id")
+    joined = batch.join(ledger.known(batch).hint("merge"), "id", "left_anti")
+    assert plan(joined).count("Exchange") == 1 and joined.count() == 600
+
+
+def test_a_store_without_a_ledger_gets_one(spark, tmp_path):
+    """Posts written by another tool, without tags, a log or a ledger."""
+    store = tmp_path / "raw"
+    snapshots.to_schema(posts(spark, ["a", "b", None]), RAW_POST).write.partitionBy("subreddit").parquet(str(store))
+    snapshots.incremental_ingest(posts(spark, ["b", "c"]), store)
+    snapshots.append_snapshots(posts(spark, ["d"]), store)
+    snapshots.incremental_ingest(posts(spark, ["d", "e"]), store)
+    assert sorted(r.id or "" for r in snapshots.scan_snapshots(spark, store).collect()) == ["", "a", "b", "c", "d", "e"]
+
+
 def test_label_stream(spark, tmp_path):
     store, landed = tmp_path / "store", str(tmp_path / "status")
     raw = posts(spark, ["p0", "p1", "p2"]).withColumn("created_utc", F.lit(NOW - 72 * 3600))

@@ -5,19 +5,23 @@ from tidewatch.operators.labels import LABEL_AFTER_HOURS, outcome_counts, rechec
 from tidewatch.plans.ranking import keep_first
 from tidewatch.schemas import LABEL
 from tidewatch.session import settle
-from tidewatch.sources.snapshots import read_or_empty, to_schema
+from tidewatch.sources.commits import TAG, commit, new_append, read_committed
+from tidewatch.sources.snapshots import to_schema
 
 
 def scan_labels(spark, path):
     """The first label of every post; empty, with its columns, while there are none.
 
-    An append that was interrupted and run again may have written some labels twice.
+    Appends that were not completed are not seen. Two runs at the same time may both label a post.
     """
-    return keep_first(read_or_empty(spark, path, LABEL), ["id"], [F.col("checked_utc")])
+    return keep_first(read_committed(spark, path, LABEL), ["id"], [F.col("checked_utc")])
 
 
 def append_labels(df, path):
-    to_schema(df, LABEL).write.mode("append").parquet(str(path))
+    """Adds labels, which are seen once all of them are written."""
+    append = new_append()
+    to_schema(df, LABEL).withColumn(TAG, F.lit(append)).write.mode("append").parquet(str(path))
+    commit(df.sparkSession, path, append)
 
 
 def record_labels(raw, status, path, now, after_hours=LABEL_AFTER_HOURS):

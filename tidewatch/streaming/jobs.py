@@ -1,8 +1,8 @@
 """The two incremental jobs, as file streams that drain what has landed and stop.
 
 Each micro-batch compares with the table it writes to, so a batch that is run again after it was
-written adds nothing. Plain Parquet appends are not transactional: a batch that dies half way may
-leave some ids twice after its retry, which `scan_once` and `scan_labels` remove on reading.
+written adds nothing. What a batch wrote is seen once its commit is in the table's log, so one that
+dies half way leaves nothing to be seen and its retry stores everything once.
 """
 from tidewatch.operators.labels import LABEL_AFTER_HOURS
 from tidewatch.operators.listing import flatten_snapshot, normalise_submissions
@@ -23,8 +23,8 @@ def ingest_stream(spark, landing, store, checkpoint, communities=None, files_per
     stream = spark.readStream.schema(RAW_POST).option(
         "maxFilesPerTrigger", files_per_batch).parquet(str(landing))
 
-    def each_batch(batch, _):
-        incremental_ingest(batch, store, communities, rows_per_file)
+    def each_batch(batch, number):
+        incremental_ingest(batch, store, communities, rows_per_file, number)
     return _drain(stream, checkpoint, each_batch)
 
 
@@ -34,9 +34,9 @@ def submission_stream(spark, landing, store, checkpoint, clock, communities=None
     stream = spark.readStream.schema(SUBMISSION).option(
         "maxFilesPerTrigger", files_per_batch).json(str(landing))
 
-    def each_batch(batch, _):
+    def each_batch(batch, number):
         posts = flatten_snapshot(normalise_submissions(batch, clock(), comments_per_post))
-        incremental_ingest(posts, store, communities, rows_per_file)
+        incremental_ingest(posts, store, communities, rows_per_file, number)
     return _drain(stream, checkpoint, each_batch)
 
 
