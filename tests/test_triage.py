@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,30 @@ def test_quantiles_by_digits_equal_the_built_in(spark):
         assert list(x) == pytest.approx(list(y), rel=1e-12)
 
 
+def test_describe_selects_exact_quartiles(spark):
+    """Columns whose values share all but the last bits, hold infinities, both zeros, copies or nothing."""
+    deal = random.Random(3)
+    inf, nan = float("inf"), float("nan")
+    columns = {
+        "near": [1.0 + deal.randrange(1 << 20) * 2.0 ** -52 for _ in range(997)],
+        "wide": [deal.uniform(-1, 1) * 10.0 ** deal.randint(-300, 300) for _ in range(997)],
+        "ends": [deal.choice([-inf, -0.0, 0.0, 5e-324, -5e-324, inf, nan, None]) for _ in range(997)],
+        "same": [7.5] * 996 + [None], "one": [None] * 996 + [-3.0], "none": [None, nan] * 498 + [None]}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(5)
+    got = {r["column"]: r for r in profile.describe(df, list(columns)).collect()}
+    assert set(got) == set(columns) - {"none"} and got["one"]["std"] is None
+    for c, row in got.items():
+        values = sorted(v for v in columns[c] if v is not None and v == v)
+        assert (row["count"], row["min"], row["max"]) == (len(values), values[0], values[-1])
+        for name, p in profile.QUARTILES.items():
+            at, part = divmod((len(values) - 1) * p, 1)
+            low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            wanted = low if part == 0 or low == high else low + (high - low) * part
+            if math.isinf(high - low) and part:
+                wanted = (1 - part) * low + part * high
+            assert row[name] == wanted or abs(row[name] - wanted) <= 1e-15 * abs(wanted), (c, name)
+
+
 def test_rank_by_digits_equals_row_number(spark):
     df = spark.range(1500).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("g"),

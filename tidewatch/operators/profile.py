@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 from tidewatch.functions import numeric, text as tx
 from tidewatch.plans.quantiles import exact_quantiles
 from tidewatch.plans.ranking import top_within
+from tidewatch.plans.selection import column_quantiles
 from tidewatch.plans.skew import join_groups, join_keys
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -56,15 +57,24 @@ def posts_per_month(df, created="created_utc", group=("subreddit",)):
 
 
 def describe(df, columns):
-    """count, mean, std, min, quartiles and max of numeric columns, one row each."""
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
-                        for c in columns])
-    values = df.select(F.explode(entries).alias("e")).select("e.*").where(
-        F.col("v").isNotNull() & ~F.isnan("v"))
-    moments = values.groupBy("column").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
-    return moments.join(exact_quantiles(values, ["column"], "v", QUARTILES), "column")
+    """count, mean, std, min, quartiles and max of numeric columns, one row each.
+
+    One pass for the moments of all columns, and one per refinement for their quartiles; nulls and NaN
+    are left out, and a column without any other value has no row.
+    """
+    def of(c):
+        v = F.col(c).cast("double")
+        v = F.when(~F.isnan(v), v)
+        return [F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.max(v)]
+
+    moments = df.agg(*[F.struct(*[m.alias(f"m{k}") for k, m in enumerate(of(c))]).alias(f"c{i}")
+                       for i, c in enumerate(columns)]).first()
+    filled = {c: tuple(row) for c, row in zip(columns, moments) if row[0]}
+    quartiles = column_quantiles(df, {c: row[0] for c, row in filled.items()}, QUARTILES)
+    return df.sparkSession.createDataFrame(
+        [(c, *row, *quartiles[c].values()) for c, row in filled.items()],
+        "column string, count long, mean double, std double, min double, max double, "
+        + ", ".join(f"{name} double" for name in QUARTILES))
 
 
 def _value_cells(df, group, value):
