@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import annotate, labels as lab, metrics, policy, profile
 from tidewatch.plans.quantiles import exact_quantiles
-from tidewatch.plans.ranking import keep_first, rank_within, top_within
+from tidewatch.plans.ranking import keep_first, rank_within, top_by_ranges, top_within
 from tidewatch.functions.numeric import double_digits, flag_precision
 from tidewatch.schemas import LABEL
 
@@ -177,6 +177,30 @@ def test_quantiles_by_digits_equal_the_built_in(spark):
         assert list(x) == pytest.approx(list(y), rel=1e-12)
 
 
+@pytest.mark.parametrize("n", [1, 37, 2500, 10_000])
+def test_top_of_hot_small_and_null_groups(spark, n):
+    """One group with most rows, spread over all ranges, next to a null group and groups of one row."""
+    rows = spark.range(9000).selectExpr(
+        "id", "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 < 9 THEN NULL ELSE concat('g', id) END AS g",
+        "pmod(xxhash64(id), 500) AS v")
+    got = {(r.g, r.id): r.rn for r in top_within(rows, ["g"], [F.col("v").desc(), F.col("id")], n).collect()}
+    wanted, groups = {}, {}
+    for r in rows.collect():
+        groups.setdefault(r.g, []).append((-r.v, r.id))
+    for g, members in groups.items():
+        wanted.update({(g, i): at for at, (_, i) in enumerate(sorted(members)[:n], 1)})
+    assert got == wanted
+
+
+def test_a_large_top_has_no_window_over_rows(spark):
+    rows = spark.range(40_000).selectExpr("id", "'hot' AS g")
+    top = top_by_ranges(rows, ["g"], [F.col("id").desc()], 20_000)
+    plan = top._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert top.count() == 20_000 and top.agg(F.min("id")).first()[0] == 20_000
+    windows = [line for line in plan if "Window" in line]
+    assert len(windows) == 1 and "_range" in windows[0]          # over the sizes of runs, not over rows
+
+
 def test_describe_selects_exact_quartiles(spark):
     """Columns whose values share all but the last bits, hold infinities, both zeros, copies or nothing."""
     deal = random.Random(3)

@@ -96,16 +96,39 @@ def keep_first(df, keys, order):
             .select("_row.*"))
 
 
+def top_by_ranges(df, group, order, n, alias="rn"):
+    """The first `n` rows of every group for any `n`: no task ever holds a group, or its first rows.
+
+    Rows are dealt by ranges of (group, order), so a group lies in runs of neighbouring rows of a few
+    ranges. The sizes of a group's earlier runs give the rank of a run's first row; runs that start
+    beyond `n` are dropped. Rows equal in all of `order` share a range.
+    """
+    keys = [F.col(g) for g in group]
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = settle(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn(
+        "_range", F.shiftright("_at", 33))                   # how these ids are made up
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(
+        F.col("_before") < n).drop("_n")
+    ranked = join_keys(placed, runs, [*group, "_range"]).withColumn(
+        alias, F.col("_at") - F.col("_first") + F.col("_before") + 1)
+    return ranked.where(F.col(alias) <= n).drop("_at", "_range", "_first", "_before").withColumn(
+        alias, F.col(alias).cast("int"))
+
+
 def top_within(df, group, order, n, alias="rn", spread=64):
     """The first `n` rows of every group.
 
-    Spark prunes each map task to `n` rows per group for n up to 1,000. A larger n is first cut
-    within `spread` slices of the group, so that the last task holds at most n * spread rows.
+    For n up to 1,000 Spark prunes each map task to `n` rows per group; what the tasks leave is cut
+    once more by `spread` groups of tasks, so that the last task gets at most n * spread rows of a
+    group however many tasks there were. A larger n goes by ranges.
     """
+    if n > 1000:
+        return top_by_ranges(df, group, order, n, alias)
+
     def cut(rows, keys):
         window = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumn(alias, F.row_number().over(window)).where(F.col(alias) <= n)
-    if n > 1000:
-        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
-        df = cut(sliced, [*group, "_slice"]).drop("_slice", alias)
-    return cut(df, group)
+    sliced = df.withColumn("_slice", F.spark_partition_id() % spread)
+    return cut(cut(sliced, [*group, "_slice"]).drop("_slice", alias), group)
