@@ -330,6 +330,16 @@ def mean_words(spark, sf_dir):
                                         .alias("mean_words_per_post"))
 
 
+# The ids of a leaf hashed, then the leaves of a branch, from `final`.
+_BRANCHES = """leaves AS (
+  SELECT split, substr(md5(id), 1, 6) AS bucket, count(*) AS n,
+         sha256(string_agg(id, chr(10) ORDER BY id)) AS leaf FROM final GROUP BY split, bucket),
+branches AS (
+  SELECT split, substr(bucket, 1, 3) AS branch, CAST(sum(n) AS BIGINT) AS n,
+         sha256(string_agg(bucket || ':' || leaf, chr(10) ORDER BY bucket)) AS hash FROM leaves GROUP BY split, branch)"""
+_ROOT = "substr(sha256(string_agg(split || ':' || branch || ':' || hash, chr(10) ORDER BY split, branch)), 1, 12)"
+
+
 def _report(comments):
     classes = {"kept": "kept", "bot": "bot", "moderator_or_stickied": "moderator_or_stickied",
                "deleted_or_removed": "deleted_or_removed"}
@@ -338,9 +348,7 @@ def _report(comments):
         f"AS comments_{n}" if comments else f"CAST(NULL AS BIGINT) AS comments_{n}"
         for n, c in classes.items())
     return f"""WITH {twins.tagged(comments)},
-leaves AS (
-  SELECT split, substr(md5(id), 1, 4) AS bucket,
-         sha256(string_agg(id, chr(10) ORDER BY id)) AS leaf FROM final GROUP BY ALL)
+{_BRANCHES}
 SELECT (SELECT count(*) FROM posts) AS input_posts,
   (SELECT CAST(sum({twins.count("raw_text", twins.MENTION)}) AS BIGINT) FROM joined)
     AS subreddit_mentions,
@@ -356,8 +364,7 @@ SELECT (SELECT count(*) FROM posts) AS input_posts,
   (SELECT count(*) FROM final WHERE split = 'train') AS train_posts,
   (SELECT count(*) FROM final WHERE split = 'test') AS test_posts,
   (SELECT round(avg(n_words), 6) FROM final) AS mean_words_per_post,
-  (SELECT substr(sha256(string_agg(split || ':' || bucket || ':' || leaf, chr(10)
-                                   ORDER BY split, bucket)), 1, 12) FROM leaves) AS data_hash
+  (SELECT {_ROOT} FROM branches) AS data_hash
 FROM worded"""
 
 
@@ -377,13 +384,8 @@ def prep_report_with_comments(spark, sf_dir):
 
 
 @query("data_hash", f"""WITH {twins.tagged()},
-leaves AS (
-  SELECT split, substr(md5(id), 1, 4) AS bucket, count(*) AS n,
-         sha256(string_agg(id, chr(10) ORDER BY id)) AS leaf
-  FROM final GROUP BY split, bucket)
-SELECT substr(sha256(string_agg(split || ':' || bucket || ':' || leaf, chr(10)
-                                ORDER BY split, bucket)), 1, 12) AS data_hash,
-       CAST(sum(n) AS BIGINT) AS n_ids FROM leaves""")
+{_BRANCHES}
+SELECT {_ROOT} AS data_hash, CAST(sum(n) AS BIGINT) AS n_ids FROM branches""")
 def data_hash(spark, sf_dir):
     return prep.fingerprint(prep.prepare(inputs.posts(spark, sf_dir)).rows)
 

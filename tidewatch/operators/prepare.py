@@ -247,34 +247,42 @@ def split_report(split_rows, method="temporal"):
 
 # --- fingerprint --------------------------------------------------------------
 
-def _id_bucket(digits):
-    return F.substring(F.md5(F.col("id").cast("string")), 1, digits)
+# Hex digits of an id's hash that name its leaf, and the branch the leaf hangs on.
+LEAF_DIGITS, BRANCH_DIGITS = 6, 3
 
 
-def _leaves(df, digits, *counts, kept=None):
-    """Ids of each split hashed per bucket, with any further counts of the same rows."""
-    ids = F.col("id").cast("string")
+def _joined_hash(rows, *names):
+    lines = F.transform(F.sort_array(rows), lambda r: F.concat_ws(":", *[r[n] for n in names]))
+    return F.sha2(F.array_join(lines, "\n"), 256)
+
+
+def _branches(df, counts=None, kept=None):
+    """Branch hashes of each split, with any further counts of the same rows added up."""
+    ids, counts = F.col("id").cast("string"), counts or {}
+    digits = F.md5(ids)
     listed = F.collect_list(ids if kept is None else F.when(kept, ids))
-    return df.groupBy("split", _id_bucket(digits).alias("bucket")).agg(
-        F.array_join(F.sort_array(listed), "\n").alias("lines"), F.size(listed).alias("n_ids"),
-        *counts).withColumn("leaf", F.sha2("lines", 256)).drop("lines")
+    leaves = df.groupBy("split", F.substring(digits, 1, LEAF_DIGITS).alias("bucket")).agg(
+        F.sha2(F.array_join(F.sort_array(listed), "\n"), 256).alias("leaf"), F.size(listed).alias("n_ids"),
+        *[count.alias(name) for name, count in counts.items()])
+    below = F.collect_list(F.when(F.col("n_ids") > 0, F.struct("bucket", "leaf")))
+    return leaves.groupBy("split", F.substring("bucket", 1, BRANCH_DIGITS).alias("branch")).agg(
+        _joined_hash(below, "bucket", "leaf").alias("leaf"), *[F.sum(c).alias(c) for c in ("n_ids", *counts)]
+    ).withColumnRenamed("branch", "bucket")
 
 
 def _root():
-    listed = F.sort_array(F.collect_list(
-        F.when(F.col("n_ids") > 0, F.struct("split", "bucket", "leaf"))))
-    lines = F.transform(listed, lambda r: F.concat_ws(":", r["split"], r["bucket"], r["leaf"]))
-    return F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 12)
+    listed = F.collect_list(F.when(F.col("n_ids") > 0, F.struct("split", "bucket", "leaf")))
+    return F.substring(_joined_hash(listed, "split", "bucket", "leaf"), 1, 12)
 
 
-def fingerprint(df, digits=4):
+def fingerprint(df):
     """One row that names the exact content of a split, whatever the row order.
 
-    A two-level hash: the sorted ids of each of 16**digits hash buckets of a split are hashed on the
-    executors, then the sorted bucket hashes. `digits` sets how many ids meet in one task; the value
-    depends on it.
+    A hash tree over the hashes of the ids, of a fixed shape, so that the value depends on the ids
+    alone: the sorted ids of a leaf (16**6 of them) are hashed, then the leaves of a branch (16**3),
+    then the branches of both splits. No task holds more than one leaf's ids or 4,096 hashes a split.
     """
-    return _leaves(df, digits).agg(
+    return _branches(df).agg(
         _root().alias("data_hash"), F.coalesce(F.sum("n_ids"), F.lit(0)).alias("n_ids"))
 
 
@@ -341,15 +349,14 @@ def prepare(raw, *, min_words=3, test_fraction=0.2, split="temporal", seed=42,
         | {"min_words": min_words, "test_fraction": test_fraction, "method": split})
 
 
-def prep_report(prepared, digits=4):
+def prep_report(prepared):
     """One row that accounts for every input row."""
     kept, short = F.col("removed_reason").isNull(), F.col("n_words") < prepared.contract["min_words"]
     # Counts ride along with the fingerprint: the texts are assembled once.
-    outcome = _leaves(
-        prepared.tagged, digits,
-        F.count_if(~kept).alias("short_train"),
-        F.count_if((F.col("split") == "test") & short).alias("short_test"),
-        F.sum(F.when(kept, F.col("n_words"))).alias("words"), kept=kept)
+    outcome = _branches(prepared.tagged, {
+        "short_train": F.count_if(~kept),
+        "short_test": F.count_if((F.col("split") == "test") & short),
+        "words": F.sum(F.when(kept, F.col("n_words")))}, kept)
     in_split = {name: F.coalesce(F.sum(F.when(F.col("split") == name, F.col("n_ids"))), F.lit(0))
                 for name in ("train", "test")}
     outcome = outcome.agg(
