@@ -217,6 +217,25 @@ def test_a_store_without_a_ledger_gets_one(spark, tmp_path):
     assert sorted(r.id or "" for r in snapshots.scan_snapshots(spark, store).collect()) == ["", "a", "b", "c", "d", "e"]
 
 
+def test_a_ledger_that_was_not_completed_is_made_again(spark, tmp_path, monkeypatch):
+    """The run dies between the ids and the note that they are all there; another size is asked for next."""
+    store = tmp_path / "raw"
+    snapshots.append_snapshots(posts(spark, [f"p{i}" for i in range(50)]), store)
+    note = commits.IdLedger._note
+    def dies(ledger, name):
+        if name == "_complete":
+            raise KeyboardInterrupt
+        note(ledger, name)
+    with monkeypatch.context() as patch:
+        patch.setattr(commits.IdLedger, "_note", dies)
+        with pytest.raises(KeyboardInterrupt):
+            commits.IdLedger(spark, store, 3).lay_out(snapshots.scan_snapshots(spark, store))
+    assert commits.IdLedger(spark, store).buckets is None
+    snapshots.incremental_ingest(posts(spark, ["p1", "p49", "new"]), store)
+    assert commits.IdLedger(spark, store, 5).buckets == 3
+    assert stored_ids(spark, store) == sorted([f"p{i}" for i in range(50)] + ["new"])
+
+
 def test_label_stream(spark, tmp_path):
     store, landed = tmp_path / "store", str(tmp_path / "status")
     raw = posts(spark, ["p0", "p1", "p2"]).withColumn("created_utc", F.lit(NOW - 72 * 3600))

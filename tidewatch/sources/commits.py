@@ -75,12 +75,19 @@ class IdLedger:
     def __init__(self, spark, path, buckets=None):
         self.spark, self.path, self.folder = spark, str(path), f"{path}/_ids"
         self.name = "id_ledger_" + hashlib.sha256(self.folder.encode()).hexdigest()[:40]
-        self.wanted = buckets
-        stored = read_or_empty(spark, f"{self.folder}/_layout", "buckets int", "json").first()
-        self.buckets = stored and stored["buckets"]
+        self.planned = self._noted("_layout") or buckets
+        self.buckets = self._noted("_complete")
         if self.buckets:
             self._attach()
 
+    def _noted(self, name):
+        row = read_or_empty(self.spark, f"{self.folder}/{name}", "buckets int", "json").first()
+        return row and row["buckets"]
+
+    def _note(self, name):
+        self.spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(
+            f"{self.folder}/{name}")
+
     def _attach(self):
         place = self.folder.replace("\\", "\\\\").replace("'", "\\'")
         self.spark.sql(
@@ -89,19 +96,19 @@ class IdLedger:
         self.spark.catalog.refreshTable(self.name)
 
     def lay_out(self, stored, expected=0):
-        """Make the ledger of a store that has none: `stored` are the ids that are visible in it. They
-        are written without a tag before the layout is, and a run that dies in between starts again."""
+        """Make the ledger of a store that has none: `stored` are the ids that are visible in it. The
+        layout is noted first; a run that dies before the ledger is complete adds the ids again to the
+        same layout, which an anti-join does not mind."""
         if self.buckets:
             return
         ids = settle(stored.select("id").where("id IS NOT NULL").distinct())
         known = ids.count()
-        buckets = self.wanted or max(LEAST_BUCKETS, -(-(known + expected) // IDS_PER_BUCKET))
-        self.buckets = buckets
+        self.buckets = self.planned or max(LEAST_BUCKETS, -(-(known + expected) // IDS_PER_BUCKET))
+        self._note("_layout")
         self._attach()
         if known:
             self._write(ids.withColumn(TAG, F.lit(None).cast("string")))
-        self.spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(
-            f"{self.folder}/_layout")
+        self._note("_complete")
 
     def _write(self, rows):
         # Each task writes whole buckets, so a bucket gets one file an append.
