@@ -14,6 +14,7 @@ from tidewatch.plans.ranking import (
     WINDOW_LIMIT, largest_group, rank_within, running_totals)
 from tidewatch.plans.skew import join_groups
 from tidewatch.schemas import COMMENTS
+from tidewatch.session import settle
 
 # Identifiers with the label, and what can be known when a post is submitted.
 KEY_COLUMNS = ("id", "subreddit", "created_utc", "snapshot_utc")
@@ -132,20 +133,33 @@ def _with_title_key(df, empty_key):
     return df.withColumn("title_key", key)
 
 
+def _first_post(df, order_by, columns=None):
+    """Aggregate: the first post of a group, as a struct of `columns`, all of them by default.
+
+    Posts equal in the order and the community are told apart by the hash of all columns; columns that
+    such posts share need no hash, so that nothing else is read or moved.
+    """
+    settled = {*order_by, "subreddit"}
+    ties = [] if columns and settled.issuperset(columns) else [F.xxhash64(*df.columns)]
+    return F.min_by(F.struct(*(columns or df.columns)),
+                    F.struct(*_order(df, order_by), F.col("subreddit"), *ties)).alias("_post")
+
+
 def first_posts(df, order_by=ORDER_COLUMNS, empty_key="drop"):
     """The first post of every title key with all its columns, plus `title_key`."""
-    keyed = _with_title_key(df, empty_key)
-    columns = [F.col(c) for c in df.columns]
-    order = [*_order(df, order_by), F.col("subreddit"), F.xxhash64(*columns)]
-    return (keyed.groupBy("title_key")
-            .agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_post"))
-            .select("title_key", "_post.*"))
+    return (_with_title_key(df, empty_key).groupBy("title_key")
+            .agg(_first_post(df, order_by)).select("title_key", "_post.*"))
+
 
+def deduplicate(df, order_by=ORDER_COLUMNS, empty_key="drop", columns=None):
+    """Titles used by several communities lose every copy; the others keep their first post.
 
-def deduplicate(df, order_by=ORDER_COLUMNS, empty_key="drop"):
-    """Titles used by several communities lose every copy; the others keep their first post."""
-    agreed = title_groups(df, order_by, empty_key).where(~F.col("conflict")).select("title_key")
-    return first_posts(df, order_by, empty_key).join(agreed, "title_key").drop("title_key")
+    `columns` names the columns wanted, all by default; the others are not moved.
+    """
+    agreed = F.coalesce(F.min("subreddit") == F.max("subreddit"), F.lit(True))
+    return (_with_title_key(df, empty_key).groupBy("title_key")
+            .agg(agreed.alias("_agreed"), _first_post(df, order_by, columns))
+            .where("_agreed").select("_post.*"))
 
 
 def duplicate_counts(groups):
@@ -214,8 +228,11 @@ def with_split(df, test_fraction=0.2, method="temporal", seed=42, window_limit=W
     """Adds `split`; rows without a community are left out.
 
     While the largest community (counted, or bounded by `largest`) is within `window_limit` a plain
-    window ranks the rows; larger ones are compared with their community's cut.
+    window ranks the rows; larger ones are compared with their community's cut. Rows that are read
+    more than once, to be counted or cut, are written once before.
     """
+    if largest is None or largest > window_limit:
+        df = settle(df)
     rows, _ = _split_keys(df.where(F.col("subreddit").isNotNull()), method, seed)
     if largest is None:
         largest = largest_group(rows, ["subreddit"])
