@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import features, linear, models, vectors
+from tidewatch.operators import blocks, features, linear, models, vectors
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
 
@@ -91,6 +91,25 @@ def test_weights_are_the_same_on_both_paths(corpus):
     assert rows[0] == rows[1] and len(rows[0]) > 500
 
 
+def test_weights_by_blocks_are_those_of_one_block(spark, monkeypatch):
+    """Blocks smaller than a document, several ranges, repeated and null ids, empty and null texts."""
+    texts = ["one two one two one", "", None, "two one three", "one", "Über uns über uns one two", "w " * 50 + "word " * 700 + "one two"]
+    docs = spark.createDataFrame([(i if i != 4 else None, t) for i, t in enumerate(texts)] + [(0, "one two word")], "id int, text string")
+    expected = sorted((str(r.id), r.term, round(r.weight, 12)) for r in features.tfidf(
+        features.document_terms(docs.where("id is not null and text <> 'one two word'")),
+        features.vocabulary(features.document_terms(docs), docs.count())).collect() if r.id != 0)
+    assert len(expected) > 8
+    for words, range_words in ((1 << 19, 1 << 21), (7, 5)):
+        monkeypatch.setattr(blocks, "BLOCK_WORDS", words)
+        monkeypatch.setattr(blocks, "RANGE_WORDS", range_words)
+        found = blocks.block_weights(docs.repartition(3), blocks.count_words(docs))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Generate" not in plan and "Window" not in plan
+        rows = found.collect()
+        assert sorted((str(r.id), r.term, round(r.weight, 12)) for r in rows if r.id not in (None, 0)) == expected
+        assert sum(r.id is None for r in rows) == 1 and sum(r.id == 0 for r in rows) == 8
+
+
 def test_scoring_neither_explodes_nor_shuffles(corpus):
     fitted = models.fit(corpus)
     plan = models.predict_proba(fitted, corpus)._jdf.queryExecution().executedPlan().toString()
