@@ -163,6 +163,27 @@ def test_a_bounded_share_of_the_labelled_rows_is_enough_to_fit(corpus):
     assert sum(r.predicted == r.subreddit for r in rows) > 60
 
 
+def test_naive_bayes_by_blocks_is_the_same(corpus, monkeypatch):
+    """Texts and labels may be null."""
+    odd = corpus.withColumns({"text": F.when(F.col("id") != "d7", F.col("text")),
+                              "subreddit": F.when(F.col("id") != "d8", F.col("subreddit"))})
+
+    def results():
+        fitted = models.fit(odd, learner="naive_bayes")
+        runs = models.oof_predictions(corpus, 4, 0, learner="naive_bayes")
+        return (sorted((r.term, round(r.idf, 12), *[round(c, 9) for c in r.coef]) for r in fitted.table.collect()),
+                sorted((r.id, r.predicted, round(r.confidence, 9)) for r in models.predict_proba(fitted, odd).collect()),
+                sorted((r.id, r.label, r.fold, r.predicted, round(r.confidence, 9)) for r in runs.collect()))
+    expected = results()
+    assert len(expected[0]) > 20 and len(expected[1]) == 120 and len(expected[2]) == 120
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(blocks, "BLOCK_WORDS", 30)
+    monkeypatch.setattr(blocks, "RANGE_WORDS", 100)
+    monkeypatch.setattr(models, "training_terms", None)      # no row per term of a document
+    monkeypatch.setattr(models.score_texts, "__defaults__", (*models.score_texts.__defaults__[:-1], 0))
+    assert results() == expected
+
+
 def test_scores_curve_and_ablation(corpus):
     cv = models.cv_scores(corpus, 3, range(2), learner="naive_bayes")
     row = cv.first()
