@@ -163,6 +163,16 @@ def test_a_bounded_share_of_the_labelled_rows_is_enough_to_fit(corpus):
     assert sum(r.predicted == r.subreddit for r in rows) > 60
 
 
+def test_vocabulary_by_blocks_is_the_same(spark, corpus, monkeypatch):
+    docs = corpus.select("text").unionByName(spark.createDataFrame([(None,), ("",), ("Über uns über uns",), ("uns",)], "text string"))
+    monkeypatch.setattr(blocks, "BLOCK_WORDS", 30)
+    monkeypatch.setattr(blocks, "RANGE_WORDS", 100)
+    counted, by_blocks = (features.vocabulary_of(docs, broadcast_bytes=b) for b in (vectors.BROADCAST_BYTES, 0))
+    plan = by_blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
+    assert sorted(by_blocks.collect()) == sorted(counted.collect()) and counted.where("term = 'uns'").first().df == 2
+
+
 def test_naive_bayes_by_blocks_is_the_same(corpus, monkeypatch):
     """Texts and labels may be null."""
     odd = corpus.withColumns({"text": F.when(F.col("id") != "d7", F.col("text")),
