@@ -234,6 +234,25 @@ def test_repeated_predictions_share_one_table_of_vectors(corpus, monkeypatch):
     assert all(alone[r.id] == pytest.approx(r.confidence, abs=1e-6) for r in runs if r.seed == 9)
 
 
+def test_fits_share_the_drivers_memory_and_are_given_up(corpus, monkeypatch):
+    running, most, fit_one = [], [], linear.fit_one
+
+    def spy(space, i, **options):
+        running.append(i)
+        most.append(len(running))
+        try:
+            return fit_one(space, i, **options)
+        finally:
+            running.remove(i)
+    monkeypatch.setattr(linear, "fit_one", spy)
+    expected = sorted((r.id, round(r.confidence, 9)) for r in models.oof_predictions(corpus, 4, 0, max_iter=5).collect())
+    monkeypatch.setattr(linear, "FIT_BYTES", 1)
+    most.clear()
+    runs = models.oof_predictions(corpus, 4, 0, max_iter=5)
+    assert most == [1] * 4 and "UDF" not in runs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, round(r.confidence, 9)) for r in runs.collect()) == expected
+
+
 def test_evaluation_document(spark, corpus, tmp_path):
     from tidewatch.operators.evaluate import evaluation
     from tidewatch.sources.outputs import write_document
