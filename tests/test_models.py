@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import blocks, features, linear, models, vectors
+from tidewatch.operators import blocks, descent, features, linear, models, vectors
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
 
@@ -253,6 +253,49 @@ def test_fits_share_the_drivers_memory_and_are_given_up(corpus, monkeypatch):
     assert sorted((r.id, round(r.confidence, 9)) for r in runs.collect()) == expected
 
 
+def test_fits_too_large_for_the_driver_take_the_same_steps(spark, corpus, monkeypatch):
+    """Null texts and labels, repeated ids, two and three classes; a block may miss a training set altogether."""
+    odd = corpus.withColumns({"text": F.when(F.col("id") != "d7", F.col("text")),
+                              "subreddit": F.when(F.col("id") != "d8", F.col("subreddit"))})
+    two = odd.withColumn("subreddit", F.when(F.col("subreddit") == "a", "a").otherwise("b"))
+    odd = odd.unionByName(odd.where("id = 'd9'"))
+
+    def results():
+        found = {}
+        for name, df in (("two", two), ("three", odd)):
+            fitted = models.fit(df, max_iter=12)
+            found[name, "terms"] = {r.term: (r.idf, *r.coef) for r in fitted.table.collect()}
+            found[name, "docs"] = {r.id: (r.predicted, *r.probability) for r in models.predict_proba(fitted, df).collect()}
+            docs = df.where("subreddit IS NOT NULL").dropDuplicates(["id"])
+            found[name, "held out"] = {r.id: (r.predicted, *r.probability) for r in models.oof_predictions(
+                docs, 2, 0, max_iter=3).collect()}
+        found["report"] = {r.model: tuple(r)[1:] for r in models.cv_fit_report(docs, 2, max_iter=4).collect()}
+        return found
+    expected = results()
+    for module, name, value in ((linear, "DRIVER_BYTES", 1), (blocks, "BLOCK_WORDS", 200), (blocks, "RANGE_WORDS", 400),
+                                (descent, "CHECKPOINT_EVERY", 5), (linear, "LogisticRegression", None)):
+        monkeypatch.setattr(module, name, value)
+    found = results()
+    assert len(expected["two", "docs"]) == 120 and len(expected["three", "terms"]) > 20
+    for part, rows in expected.items():
+        assert found[part].keys() == rows.keys()
+        for key, row in rows.items():
+            for a, b in zip(row, found[part][key], strict=True):
+                assert a == b if isinstance(a, str) else b == pytest.approx(a, abs=1e-7)
+
+
+def test_a_step_that_overshoots_is_shortened():
+    calls = []
+
+    def phi(t):
+        calls.append(t)
+        return t, (t - 0.2) ** 2, 2 * (t - 0.2)
+    t = descent.wolfe_step(phi, 1.0, phi(0.0))
+    assert 0 < t < 0.4 and len(calls) > 2
+    with pytest.raises(descent.LineSearchFailed):
+        descent.wolfe_step(phi, 1.0, (0.0, 1.0, 1.0))
+
+
 def test_evaluation_document(spark, corpus, tmp_path):
     from tidewatch.operators.evaluate import evaluation
     from tidewatch.sources.outputs import write_document
