@@ -163,6 +163,23 @@ def test_a_bounded_share_of_the_labelled_rows_is_enough_to_fit(corpus):
     assert sum(r.predicted == r.subreddit for r in rows) > 60
 
 
+@pytest.mark.parametrize("run", [
+    lambda df: models.fit(df), lambda df: models.cv_fit_report(df, 2), lambda df: models.cv_scores(df, 2, (3, 4))])
+def test_large_training_sets_are_fitted_whole(spark, monkeypatch, run):
+    class Seen(Exception):
+        pass
+
+    def sizes_of(docs, sets, classes, sizes, **_):
+        raise Seen(sizes)
+    monkeypatch.setattr(linear, "space_of", sizes_of)
+    n = 401_000
+    rows = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("some words").alias("text"),
+                                 F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("subreddit"))
+    with pytest.raises(Seen) as seen:
+        run(rows)
+    assert set(seen.value.args[0]) <= {n, n // 2}
+
+
 def test_vocabulary_by_blocks_is_the_same(spark, corpus, monkeypatch):
     docs = corpus.select("text").unionByName(spark.createDataFrame([(None,), ("",), ("Über uns über uns",), ("uns",)], "text string"))
     monkeypatch.setattr(blocks, "BLOCK_WORDS", 30)
