@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import blocks, descent, features, linear, models, vectors
+from tidewatch.operators import blocks, descent, features, linear, models, spans, vectors
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]
 
@@ -301,6 +301,44 @@ def test_fits_too_large_for_the_driver_take_the_same_steps(spark, corpus, monkey
                 assert a == b if isinstance(a, str) else b == pytest.approx(a, abs=1e-7)
 
 
+def test_fits_of_many_terms_go_by_combinations_of_documents(spark, corpus, monkeypatch):
+    """The same models as Spark ML's, in fewer steps. Null texts and labels, repeated ids, a set of one class."""
+    odd = corpus.withColumns({"text": F.when(F.col("id") != "d7", F.col("text")),
+                              "subreddit": F.when(F.col("id") != "d8", F.col("subreddit"))})
+    two = odd.withColumn("subreddit", F.when(F.col("subreddit") == "a", "a").otherwise("b"))
+    odd = odd.unionByName(odd.where("id = 'd9'"))
+    options = {"tol": 1e-12, "max_iter": 2000}
+
+    def results():
+        found = {}
+        for name, df in (("two", two), ("three", odd)):
+            fitted = models.fit(df, **options)
+            found[name, "terms"] = {r.term: (r.idf, *(c - np.mean(r.coef) for c in r.coef)) for r in fitted.table.collect()}
+            found[name, "docs"] = {r.id: (r.predicted, *r.probability) for r in models.predict_proba(fitted, df).collect()}
+            docs = df.dropDuplicates(["id"])
+            found[name, "held out"] = {(r.seed, r.id): (r.label, r.fold, r.predicted, *r.probability) for r in
+                                       models.repeated_predictions(docs, 2, (0, 3), **options).collect()}
+        return found
+    expected = results()
+    monkeypatch.setattr(linear, "DRIVER_BYTES", 4000)
+    monkeypatch.setattr(spans, "VECTORS", 1)
+    monkeypatch.setattr(spans, "LEAST_CHUNK", 50)
+    for module, name, value in ((blocks, "BLOCK_WORDS", 200), (blocks, "RANGE_WORDS", 400), (linear, "LogisticRegression", None),
+                                (descent, "fit_one", None)):
+        monkeypatch.setattr(module, name, value)
+    found = results()
+    assert len(expected["two", "docs"]) == 120 and len(expected["three", "held out"]) == 240
+    for part, rows in expected.items():
+        assert found[part].keys() == rows.keys()
+        for key, row in rows.items():
+            for a, b in zip(row, found[part][key], strict=True):
+                assert a is b is None or a == b if not isinstance(a, float) else b == pytest.approx(a, abs=2e-4)
+    report = models.cv_fit_report(odd, 2, tol=1e-12).collect()
+    assert all(r.gradient_norm < 1e-6 and 1 < r.iterations < 60 and r.n_terms > 20 for r in report)
+    one = models.predict_proba(models.fit(two.where("subreddit = 'b'")), two).collect()
+    assert {r.predicted for r in one} == {"b"}
+
+
 def test_a_step_that_overshoots_is_shortened():
     calls = []
 
