@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +214,23 @@ def test_naive_bayes_by_blocks_is_the_same(corpus, monkeypatch):
     assert results() == expected
 
 
+def test_blocks_of_a_fold_go_with_its_fit(corpus, monkeypatch):
+    """What a fold wrote for its fit is deleted before the next one, and block functions give memory back."""
+    folders, new_folder = [], blocks.new_folder
+    monkeypatch.setattr(blocks, "new_folder", lambda *a: folders.append(new_folder(*a)) or folders[-1])
+    fitted = models.fit_bayes_by_blocks(corpus, [F.col("id") != "d1", F.col("id") != "d2"])
+    assert len(folders) == 2 and not any(os.path.exists(f.removeprefix("file:")) for f in folders)
+    assert fitted.n_rows > 40 and fitted.table.count() == fitted.n_rows
+    released, function = [], blocks._answers
+    monkeypatch.setattr(vectors, "release_memory", lambda: released.append(1))
+    ask = [np.array(h, np.uint64).tobytes() for h in ([3, 5, 9], [], [5, 7])]
+    n = [np.array(v, np.int32).tobytes() for v in ([1, 2, 3], [], [4, 5])]
+    out = function(pa.table({"block": [8, 6, 7], "range": [0, 0, 0], "hashes": ask, "n": n}))
+    assert [np.frombuffer(v, np.int32).tolist() for v in out["df"].to_pylist()] == [[1, 6, 3], [], [6, 5]]
+    assert [np.frombuffer(v, bool).tolist() for v in out["first"].to_pylist()] == [[True] * 3, [], [False, True]]
+    assert released
+
+
 def test_scores_curve_and_ablation(corpus):
     cv = models.cv_scores(corpus, 3, range(2), learner="naive_bayes")
     row = cv.first()
